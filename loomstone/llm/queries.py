@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import language_id, packing, shared, sharding, url_filter
+from loomstone.llm import html_extract, language_id, license_scan, packing, quality_rules, shared, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = shared.only(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return quality_rules.judge_documents(documents, shared.only(_table(spark, sf_dir, "labels"), "doc_id", "quality"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, pages, url_filter.RULES, url_filter.BLOCKED_HOSTS).drop("url")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = shared.only(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return html_extract.extract(spark, pages)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = shared.only(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return license_scan.scan(documents, ["doc_id"])
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -32,8 +47,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op3_sharding": op3_sharding,
         "op5_url_filter": op5_url_filter,
+        "op7_html_extract": op7_html_extract,
+        "op8_license_scan": op8_license_scan,
         "op9_language_id": op9_language_id,
         "op10_packing": op10_packing,
     }
