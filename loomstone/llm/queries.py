@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import html_extract, language_id, license_scan, packing, quality_rules, shared, sharding, url_filter
+from loomstone.llm import html_extract, language_id, license_scan, packing, quality_rules, shared, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = shared.only(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return quality_rules.judge_documents(documents, shared.only(_table(spark, sf_dir, "labels"), "doc_id", "quality"))
@@ -47,6 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_quality_rules": op2_quality_rules,
         "op3_sharding": op3_sharding,
         "op5_url_filter": op5_url_filter,
