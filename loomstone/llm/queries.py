@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import html_extract, language_id, license_scan, packing, quality_rules, shared, sharding, suffix_dedup, url_filter
+from loomstone.llm import decontamination, html_extract, language_id, license_scan, packing, quality_rules, shared, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaked(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = shared.only(_table(spark, sf_dir, "pages"), "page_id", "url")
     return url_filter.filter_urls(spark, pages, url_filter.RULES, url_filter.BLOCKED_HOSTS).drop("url")
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_quality_rules": op2_quality_rules,
         "op3_sharding": op3_sharding,
+        "op4_decontamination": op4_decontamination,
         "op5_url_filter": op5_url_filter,
         "op7_html_extract": op7_html_extract,
         "op8_license_scan": op8_license_scan,
