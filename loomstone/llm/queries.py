@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontamination, html_extract, language_id, license_scan, packing, quality_rules, shared, sharding, suffix_dedup, url_filter
+from loomstone.llm import decontamination, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, shared, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, pages, url_filter.RULES, url_filter.BLOCKED_HOSTS).drop("url")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_groups(spark, shared.only(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = shared.only(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return html_extract.extract(spark, pages)
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
         "op5_url_filter": op5_url_filter,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_html_extract": op7_html_extract,
         "op8_license_scan": op8_license_scan,
         "op9_language_id": op9_language_id,
