@@ -295,7 +295,8 @@ def linked_groups(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """`documents` with one row of each linked group: the first by id, and of equal ids one."""
-    groups = shared.written(spark, linked_groups(spark, documents.select("doc_id", "text")).filter("doc_id != component_id").select("doc_id").distinct(), "others")
-    small = shared.stored_bytes(spark, groups) <= BROADCAST_BYTES
-    return documents.join(F.broadcast(groups) if small else groups, "doc_id", "left_anti")
+    """`documents` with one document of each linked group, that of the least id; a null id stays."""
+    others = linked_groups(spark, documents.select("doc_id", "text")).filter("doc_id != component_id").select("doc_id").distinct()
+    others = shared.written(spark, others, "others")
+    small = shared.stored_bytes(spark, others) <= BROADCAST_BYTES
+    return documents.join(F.broadcast(others) if small else others, "doc_id", "left_anti")

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _SCRATCH: dict[str, list[str]] = {}
+_scope: list[str] = [""]
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,17 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder and read it back.
 
-    The files stay until `release` or the end of the process, since a result may be read lazily.
+    The files stay until their scope is released or the shared folder goes, since a result may be
+    read lazily.
     """
     path = f"{shared_dir(spark)}/loomstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _SCRATCH.setdefault(f"{spark.sparkContext.applicationId}/{_scope[-1]}", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far; call it only when no lazy result still needs them."""
-    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Count what `written` writes inside as scratch of that name."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the scratch tables of a scope; call it only when no lazy result still needs them."""
+    for path in _SCRATCH.pop(f"{spark.sparkContext.applicationId}/{name}", []):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

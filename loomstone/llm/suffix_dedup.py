@@ -425,9 +425,11 @@ def marks(spark: SparkSession, texts: DataFrame) -> DataFrame:
     return shared.written(spark, covered.join(twice, "dk", "full_outer").select("dk", "spans", F.coalesce("whole", F.lit(False)).alias("whole")), "marks")
 
 
-def remove_repeats(spark: SparkSession, documents: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(spark: SparkSession, documents: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
     """`documents` with n_bytes, n_removed, n_spans, kept (the bytes that stay) in place of the text.
 
+    With `as_text`, kept is a string, without the pieces of characters that a cut went through.
+
     A null text counts as empty; equal texts of SPAN bytes or more are removed as wholes, shorter texts
     stay as they are. Rows aren't dropped, so repeated rows and null keys stay rows of their own.
     """
@@ -448,18 +450,19 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, text: str = "text"
                     pairs = np.frombuffer(spans[i], dtype="<i4").reshape(-1, 2).tolist()
                     drop, count = sum(n for _, n in pairs), len(pairs)
                     edges = [0, *(x for low, n in pairs for x in (low, low + n)), len(raw)]
-                    rest = b"".join(raw[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2]))
+                    parts = [raw[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])]
+                    rest = b"".join(p.decode("utf-8", "ignore").encode() for p in parts) if as_text else b"".join(parts)
                 else:
                     drop, count, rest = 0, 0, raw.tobytes()
                 size.append(len(raw))
                 removed.append(drop)
                 runs.append(count)
                 kept.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column(f"c{i}") for i in range(len(others))] + [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=[f"c{i}" for i in range(len(others))] + ["n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(f"c{i}") for i in range(len(others))] + [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string() if as_text else pa.binary())], names=[f"c{i}" for i in range(len(others))] + ["n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = _sized_join(spark, named, found, "dk", "left")
     fields = ", ".join(f"c{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
-    out = joined.mapInArrow(cut, f"{fields}{', ' if fields else ''}n_bytes long, n_removed long, n_spans long, kept binary")
+    out = joined.mapInArrow(cut, f"{fields}{', ' if fields else ''}n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(others)), "n_bytes", "n_removed", "n_spans", "kept")
 
 
