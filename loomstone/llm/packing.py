@@ -26,14 +26,16 @@ from loomstone.llm import shared, textkit
 CAPACITY = 4096
 END_ID = 2
 _SEPARATOR = "<|startoftext|>"
-_KEPT_CHUNKS = 150_000
+_KEPT_CHUNKS = 2_000_000
+_opened: dict[str, ChunkTokenizer] = {}
 
 
 class ChunkTokenizer:
     """Ids of a text, by way of its chunks between ASCII white space.
 
     The tokenizer turns white space into breaks and cuts no token across it, so a text's ids are those
-    of its chunks in a row. Each distinct chunk is tokenized once per batch and kept for later ones.
+    of its chunks in a row. A chunk is tokenized when first seen and found by its 64-bit hash after
+    that; when two million are kept, the worker starts anew.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,38 +43,58 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.slots = textkit.Slots(_KEPT_CHUNKS)
         self.clear()
 
+    @classmethod
+    def opened(cls, path: str) -> ChunkTokenizer:
+        """One for each worker process, for all its tasks."""
+        if path not in _opened:
+            _opened[path] = cls(path)
+        return _opened[path]
+
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.pool = np.empty(0, np.uint32)
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        for c in chunks:
-            self.known[c] = len(self.known)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        self.pool = np.concatenate([self.pool, flat])
+        self.slots.clear()
+        self.starts = np.zeros(1024, np.int64)
+        self.pool = np.empty(4096, np.uint16)
+        self.used = 0
+
+    def _learn(self, chunks: list[bytes], hashed: np.ndarray) -> None:
+        slots = self.slots.add(hashed)
+        lengths = []
+        for k in range(0, len(chunks), 8192):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks[k : k + 8192]], add_special_tokens=False)]
+            lengths += map(len, ids)
+            flat = [i for x in ids for i in x]
+            while self.used + len(flat) > len(self.pool):
+                self.pool = np.resize(self.pool, 2 * len(self.pool))
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+        if not lengths:
+            return
+        while slots[-1] + 2 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * len(self.starts))
+        self.starts[slots + 1] = self.starts[slots[0]] + np.cumsum(lengths)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids per text)."""
         data, offsets = textkit.utf8(column)
         starts, ends, counts = textkit.runs(data, offsets, textkit.NOT_WHITE)
-        coded = textkit.strings(data, starts, ends).dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        if len(self.known) + len(chunks) > _KEPT_CHUNKS:
-            self.clear()
-        if fresh := [c for c in chunks if c not in self.known]:
-            self._learn(fresh)
-        slot = np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))[coded.indices.to_numpy()] if len(chunks) else np.empty(0, np.int64)
-        lengths = (self.starts[1:] - self.starts[:-1])[slot]
-        ids = self.pool[textkit.spread(self.starts[slot], lengths)]
-        ends_at = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(ends_at)
+        hashed = textkit.hashes(data, starts, ends)
+        slot = self.slots.find(hashed)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            fresh = new[textkit.first_of_each(hashed[new])]
+            if self.slots.full(len(fresh)):
+                self.clear()
+                new, fresh = np.arange(len(hashed)), textkit.first_of_each(hashed)
+            self._learn(textkit.span_bytes(data, starts[fresh], ends[fresh]), hashed[fresh])
+            slot[new] = self.slots.find(hashed[new])
+        begins = self.starts[slot]
+        lengths = self.starts[slot + 1] - begins
+        ids = self.pool[textkit.spread(begins, lengths)].astype("<u4")
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(bounds)
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -97,9 +119,9 @@ def pack(spark: SparkSession, documents: DataFrame, tokenizer_path: str | None =
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = ChunkTokenizer(path), TaskContext.get().partitionId()
+        tokens, part = ChunkTokenizer.opened(path), TaskContext.get().partitionId()
         seen = [0] * capacity.bit_length()
-        for batch in textkit.slices(batches, "text", 4 << 20):
+        for batch in textkit.slices(batches, "text", 2 << 20):
             ids, lengths = tokens.encode(batch.column("text"))
             doc: list[int] = []
             start: list[int] = []

@@ -143,3 +143,67 @@ def spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """begins[0], begins[0]+1, .. (lengths[0] of them), begins[1], .. : indices of many ranges, one after another."""
     total = int(lengths.sum())
     return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
+
+
+class Slots:
+    """A hash table from 64-bit hashes to slot numbers, probed for whole arrays at a time."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.count = 0
+        self._resize(16)
+
+    def _resize(self, bits: int) -> None:
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys = np.zeros(1 << bits, dtype=np.uint64)
+        self._slots = np.full(1 << bits, -1, dtype=np.int32)
+
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        at = (hashed >> self._shift).astype(np.int64)
+        out = self._slots[at]
+        left = np.flatnonzero((out >= 0) & (self._keys[at] != hashed))
+        while len(left):
+            at[left] = (at[left] + 1) & self._mask
+            out[left] = self._slots[at[left]]
+            left = left[(out[left] >= 0) & (self._keys[at[left]] != hashed[left])]
+        return out
+
+    def full(self, more: int) -> bool:
+        return self.count + more > self.most
+
+    def add(self, hashed: np.ndarray) -> np.ndarray:
+        """Slots count, count + 1, .. for distinct hashes that are not in the table."""
+        while (self.count + len(hashed)) * 2 > self._mask:
+            old = self._slots >= 0
+            keys, slots = self._keys[old], self._slots[old]
+            self._resize(65 - int(self._shift))
+            self._put(keys, slots)
+        slots = np.arange(self.count, self.count + len(hashed), dtype=np.int32)
+        self._put(hashed, slots)
+        self.count += len(hashed)
+        return slots
+
+    def _put(self, hashed: np.ndarray, slots: np.ndarray) -> None:
+        at = (hashed >> self._shift).astype(np.int64)
+        left = np.arange(len(hashed))
+        while len(left):
+            free = left[self._slots[at[left]] < 0]
+            self._slots[at[free]] = slots[free]  # of several at one place, the last stays
+            stays = free[self._slots[at[free]] == slots[free]]
+            self._keys[at[stays]] = hashed[stays]
+            left = left[self._slots[at[left]] != slots[left]]
+            at[left] = (at[left] + 1) & self._mask
+
+
+def first_of_each(hashed: np.ndarray) -> np.ndarray:
+    """The index of one occurrence of each distinct hash."""
+    return np.unique(hashed, return_index=True)[1]
+
+
+def span_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = data.tobytes() if len(data) < 1 << 16 else memoryview(np.ascontiguousarray(data))
+    return [bytes(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
