@@ -27,7 +27,7 @@ SAMPLE_PER_LANGUAGE = 400
 #: A run of letters longer than this is scored in pieces of this many characters.
 LONGEST_WORD = 48
 _LONGEST_PIECE = 12
-_KEPT_WORDS = 200_000
+_KEPT_BYTES = 48 << 20
 _MARK = "▁"
 
 
@@ -184,24 +184,26 @@ def fit(spark: SparkSession, documents: DataFrame, per_language: int = SAMPLE_PE
 
 
 class Scorer:
-    """Log-likelihoods of the texts of Arrow arrays; words seen before are looked up."""
+    """Log-likelihoods of the texts of Arrow arrays; a word is scored when first seen and found by its hash after that."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.slots = textkit.Slots(max(100_000, _KEPT_BYTES // (8 * max(1, len(model.languages)))))
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.scores = np.empty((0, len(self.model.languages)))
+        self.slots.clear()
+        self.scores = np.empty((1024, len(self.model.languages)))
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: list[bytes], hashed: np.ndarray) -> None:
         words = [w.decode("utf-8", "replace") for w in fresh]
         parts = [w[k : k + LONGEST_WORD] for w in words for k in range(0, len(w), LONGEST_WORD)]
         lengths = np.array([-(-len(w) // LONGEST_WORD) for w in words])
         each = word_scores(parts, self.model)
-        for w in fresh:
-            self.known[w] = len(self.known)
-        self.scores = np.concatenate([self.scores, np.add.reduceat(each, np.cumsum(lengths) - lengths)])
+        slots = self.slots.add(hashed)
+        while self.slots.count > len(self.scores):
+            self.scores = np.resize(self.scores, (2 * len(self.scores), self.scores.shape[1]))
+        self.scores[slots] = np.add.reduceat(each, np.cumsum(lengths) - lengths)
 
     def score(self, column: pa.Array) -> np.ndarray:
         data, offsets = textkit.utf8(pc.utf8_lower(column))
@@ -209,15 +211,18 @@ class Scorer:
         out = np.zeros((len(column), len(self.model.languages)))
         if not len(starts):
             return out
-        coded = textkit.strings(data, starts, ends).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > _KEPT_WORDS:
-            self.clear()
-        if fresh := [w for w in words if w not in self.known]:
-            self._learn(fresh)
-        slots = np.fromiter((self.known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()]
+        hashed = textkit.hashes(data, starts, ends)
+        slot = self.slots.find(hashed)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            fresh = new[textkit.first_of_each(hashed[new])]
+            if self.slots.full(len(fresh)):
+                self.clear()
+                new, fresh = np.arange(len(hashed)), textkit.first_of_each(hashed)
+            self._learn(textkit.span_bytes(data, starts[fresh], ends[fresh]), hashed[fresh])
+            slot[new] = self.slots.find(hashed[new])
         some = np.flatnonzero(counts)
-        out[some] = np.add.reduceat(self.scores[slots], (np.cumsum(counts) - counts)[some])
+        out[some] = np.add.reduceat(self.scores[slot], (np.cumsum(counts) - counts)[some])
         return out
 
 
