@@ -32,10 +32,26 @@ class Parsed:
 
 
 def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source_path, value): each file as one row."""
-    raw = spark.read.text(paths, wholetext=True)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
-    return raw.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("source_path"), "value")
+    """(source_path, value): each file as one row.
+
+    Spark's listing leaves out files whose names begin with a dot or an underscore; the few that are
+    asked for by such a name are read by the driver.
+    """
+    hidden = [p for p in paths if p.rsplit("/", 1)[-1][:1] in (".", "_")]
+    shown = [p for p in paths if p not in set(hidden)]
+    found = None
+    if shown:
+        raw = spark.read.text(shown, wholetext=True)
+        path = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
+        found = raw.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("source_path"), "value")
+    if hidden:
+        texts = []
+        for p in hidden:
+            with open(p, encoding="utf-8", errors="replace", newline="") as f:
+                texts.append((p, f.read()))
+        own = spark.createDataFrame(texts, "source_path string, value string")
+        found = own if found is None else found.unionByName(own)
+    return spark.createDataFrame([], "source_path string, value string") if found is None else found
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
