@@ -127,8 +127,8 @@ class _Page:
             stack.append(node)
 
 
-def _densities(page: _Page) -> tuple[list[float], list[float]]:
-    """(density, sum of the children's densities) of each element.
+def _densities(page: _Page) -> tuple[list[float], list[float], list[int]]:
+    """(density, sum of the children's densities, characters) of each element.
 
     Text that stands beside blocks counts as a child of its own; an element without blocks in it has
     its own density for its sum.
@@ -176,7 +176,7 @@ def _densities(page: _Page) -> tuple[list[float], list[float]]:
             while page.tag[up] in INLINE and up:
                 up = page.parent[up]
             sums[up] += density[i]
-    return density, sums
+    return density, sums, chars
 
 
 def _text(page: _Page, roots: list[int]) -> str:
@@ -219,18 +219,21 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
-    density, sums = _densities(page)
+    density, sums, chars = _densities(page)
     n, body = len(page.tag), page.body
     inside = [False] * n
     inside[body] = True
     for i in range(body + 1, n):
         inside[i] = inside[page.parent[i]] and not page.drop[i]
     block = [inside[i] and (i == body or page.tag[i] not in INLINE) for i in range(n)]
-    # The best subtree at or below each element; the deeper of equals.
+    # The best subtree at or below each element; of equals the deeper if it holds all the text.
     best = list(range(n))
     for i in range(n - 1, body, -1):
         up = page.parent[i]
-        if inside[i] and inside[up] and (block[best[i]] and sums[best[i]] >= sums[best[up]] or not block[best[up]]):
+        if not (inside[i] and inside[up] and block[best[i]]):
+            continue
+        mine, theirs = sums[best[i]], sums[best[up]]
+        if not block[best[up]] or mine > theirs or mine == theirs and chars[best[i]] == chars[up]:
             best[up] = best[i]
     core = up = best[body]
     threshold = density[core]
@@ -244,7 +247,7 @@ def main_text(source: str | None) -> str:
         covered[i] = above or i in chosen
         if i in chosen and not above:
             roots.append(i)
-    return _text(page, roots)
+    return _text(page, roots or [body])  # too little text for densities: all of it
 
 
 def extract(spark: SparkSession, pages: DataFrame, source: str = "html") -> DataFrame:
