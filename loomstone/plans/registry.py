@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomstone import schema
 from loomstone.functions import redact, text, timeparse
 from loomstone.operators import ingest, normalize, parity, snapshot, validate
-from loomstone.plans import questions, views
+from loomstone.plans import adapter_queries, questions, views
 from loomstone.plans.driver_tables import CALLS_CTE, EVENTS_CTE, MARKS_SQL, RUNS_SQL, canonical_events, ledger, table
 from loomstone.session import prepare
 from loomstone.sources import discovery, history
@@ -326,7 +326,6 @@ def epoch_unit_inference(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-_stamp = F.unix_millis
 _query("format_unix_ms", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp FROM events")(lambda s, d: table(s, d, "events").select("event_id", timeparse.format_ms(F.unix_millis(F.col("ts").cast("timestamp"))).alias("stamp")))
 _query("day_bucket", "SELECT strftime(ts, '%Y-%m-%d') AS day_utc, count(*) AS n FROM events GROUP BY 1")(lambda s, d: table(s, d, "events").groupBy(timeparse.day_bucket(F.unix_millis(F.col("ts").cast("timestamp"))).alias("day_utc")).agg(F.count("*").alias("n")))
 _query("hour_bucket", "SELECT strftime(ts, '%Y-%m-%dT%H:00:00Z') AS hour_utc, count(*) AS n FROM events GROUP BY 1")(lambda s, d: table(s, d, "events").groupBy(timeparse.hour_bucket(F.unix_millis(F.col("ts").cast("timestamp"))).alias("hour_utc")).agg(F.count("*").alias("n")))
@@ -404,6 +403,11 @@ def known_paths(s: SparkSession, d: str) -> DataFrame:
     return discovery.registry(s)
 
 
+# --- adapters
+
+for _name, (_plan, _sql) in adapter_queries.QUERIES.items():
+    _query(_name, _sql)(_plan)
+
 # --- engine-inherited SQL over the star schema (any query of the plane may use these)
 
 _PASSTHROUGH = {
