@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontamination, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, shared, sharding, suffix_dedup, url_filter
+from loomstone.llm import decontamination, html_extract, jaccard_join, language_id, license_scan, oracles, packing, quality_rules, shared, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.oracle_sql()}
+    return {
+        "op3_sharding": oracles.sharding_sql(),
+        "op5_url_filter": url_filter.oracle_sql(),
+        "op6_jaccard_join": oracles.jaccard_sql(),
+        "op8_license_scan": oracles.license_sql(),
+    }
