@@ -35,11 +35,16 @@ def _paired(r: Relations) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[int, int, int]]) -> DataFrame:
-    """Exact nearest-rank percentiles of each group: name -> (a, b, c) takes the value at rank (a * n + b) div c."""
+    """Exact nearest-rank percentiles of each group: name -> (a, b, c) takes the value at rank (a * n + b) div c.
+
+    Rows are counted by value before anything is ordered, with partial sums, so a group that holds most
+    rows brings its distinct values to a task and not its rows.
+    """
     group = Window.partitionBy(*keys)
-    placed = df.withColumn("__place", F.row_number().over(group.orderBy(value))).withColumn("__n", F.count("*").over(group))
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("__k"))
+    placed = counted.withColumn("__upto", F.sum("__k").over(group.orderBy(value))).withColumn("__n", F.sum("__k").over(group))
     at = lambda a, b, c: F.expr(f"({a} * __n + {b}) div {c}")
-    return placed.groupBy(*keys).agg(*(F.max(F.when(F.col("__place") == at(*rank), F.col(value))).alias(name) for name, rank in ranks.items()))
+    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("__upto") >= at(*rank), F.col(value))).alias(name) for name, rank in ranks.items()))
 
 
 def _share(part: Column, whole: Column) -> Column:

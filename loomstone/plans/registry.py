@@ -398,7 +398,7 @@ def history_scores(s: SparkSession, d: str) -> DataFrame:
     return history.scores(history.commands(lines)).select("adapter", "score")
 
 
-@_query("known_paths", None)
+@_query("known_paths", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {p}, '{path}', '{role}', '{form}', {str(deep).lower()})" for a, p, path, role, form, deep in discovery.REGISTRY) + ") AS t(adapter, precedence, path, role, format_hint, recursive)")
 def known_paths(s: SparkSession, d: str) -> DataFrame:
     return discovery.registry(s)
 
