@@ -71,7 +71,7 @@ def test_parameters():
 def test_benchmark_contracts(tmp_path):
     rows = [{"n": 3}, {"n": 2}, {"n": 2}]
     assert benchmark.order_problem(rows, "n_desc") is None and benchmark.order_problem(rows[:1], "zz") is None
-    assert "not sorted" in benchmark.order_problem(rows, "n_asc") and "unsupported" in benchmark.order_problem(rows, "n") and "missing" in benchmark.order_problem(rows, "m_asc")
+    assert "not sorted" in benchmark.order_problem(rows, "n_asc") and "checked" in benchmark.order_problem(rows, "n") and "missing" in benchmark.order_problem(rows, "m_asc")
     reports = [{"domain": d, "passed": ok} for d, ok in [("a", True)] * 3 + [("a", False)] + [("b", True)] * 4]
     gate = benchmark.release_gate(benchmark.summarize(reports))
     assert not gate["passed"] and gate["failing_domains"] == ["a"] and len(gate["failed_checks"]) == 3
