@@ -411,7 +411,7 @@ for _name, (_plan, _sql) in adapter_queries.QUERIES.items():
 # --- engine-inherited SQL over the star schema (any query of the plane may use these)
 
 _PASSTHROUGH = {
-    "sql_join_aggregate": "SELECT n_name, count(*) AS orders_n, CAST(sum(o_totalprice) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    "sql_join_aggregate": "SELECT n_name, count(*) AS orders_n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "sql_semi_anti": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice < 1000)",
     "sql_set_operations": "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier) EXCEPT SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1",
     "sql_window_frame": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM orders",
