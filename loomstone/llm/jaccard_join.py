@@ -4,16 +4,17 @@ Two sets are linked when 100 * shared >= 90 * united, a Jaccard similarity of 0.
 by how many documents hold its tokens, rarest first; two linked sets share a token of their prefixes,
 which index lists collect. Sizes, and a token's positions in both sets, bound what two sets can share:
 
-* index-level skipping: the entries of a list are blocks by component, each with its bounds of size
-  and position, and two blocks whose bounds can't meet are skipped as wholes;
+* index-level skipping: a list's entries stand by size, so an entry is held against those of like size
+  only, and the rest of the list is skipped as a block; positions bound what a pair can share;
 * answer-level skipping: sets that are known to be connected answer for each other. Equal sets are
-  one node. Neighbours in the lists are verified first, in two orders, which joins near copies in a
-  number of comparisons that grows with their number and not its square. After that only pairs of
-  different components are looked at, and these all.
-
-A pair is verified in two steps that lose nothing: parity sketches differ in no more bits than the
-sets in elements, which settles most pairs that are not linked; the others are counted exactly. Tokens
-are 64-bit hashes of shingles.
+  one node. Close neighbours in the lists are verified first, which joins near copies in a number of
+  comparisons that grows with their number and not its square. After that only pairs of different
+  components are looked at, and these all.
+
+A pair is verified in three steps that lose nothing. Parity sketches differ in no more bits than the
+sets in elements: folded to 256 bits they settle most pairs that are not linked before these leave a
+list, in full size most of the others, and what is left is counted exactly. A list of more than LIST_BLOCK entries is dealt over many tasks, every two
+of its blocks to one. Tokens are 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import shared, textkit
@@ -33,7 +34,14 @@ SHINGLE = 3
 NUMERATOR, DENOMINATOR = 9, 10
 #: Frequencies are counted in this many classes of hashes, whatever the corpus.
 CLASSES = 1 << 16
+SKETCH_BITS = 256
+#: Entries of a list that one task holds against each other.
+LIST_BLOCK = 512
+#: Places that the first pass looks ahead in a list.
+REACH = 2
 BROADCAST_BYTES = 24 << 20
+#: Rows that hold whole sets or texts go to Python in batches of so many.
+WIDE_ROWS = 256
 
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -59,14 +67,23 @@ def prefix_size(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
-def sketch_bits(n: int) -> int:
-    return max(64, 1 << (2 * n - 1).bit_length())
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each class of hashes, whether the set has an odd number of them; twice as many classes as tokens and more, and a power of two."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((textkit.mix(hashes) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def parity_sketch(hashes: np.ndarray) -> bytes:
-    bits = sketch_bits(len(hashes))
-    odd = np.bincount((textkit.mix(hashes) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+def folded(sketch: np.ndarray, words: int = SKETCH_BITS // 64) -> np.ndarray:
+    """The sketch for fewer classes."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def least_shared(sizes: np.ndarray) -> np.ndarray:
+    """The shared tokens that a link needs, ceil(9 (a + b) / 19), of the sum of two sizes."""
+    return -(-NUMERATOR * sizes // (NUMERATOR + DENOMINATOR))
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,32 +100,100 @@ def _ordered(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return (rank[(hashes & np.uint64(CLASSES - 1)).astype(np.int64)] << np.uint64(48)) | (hashes >> np.uint64(16))
 
 
-def _shared_least(na: Column, nb: Column) -> Column:
-    """The shared tokens that a link needs: ceil(9 (a + b) / 19)."""
-    return F.floor((NUMERATOR * (na + nb) + NUMERATOR + DENOMINATOR - 1) / (NUMERATOR + DENOMINATOR))
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(textkit.utf8(column)[0].tobytes(), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
-def _may_link(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
-    """Whether sizes and the places of a shared token leave room for a link."""
-    bound = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
-    return (DENOMINATOR * F.least(na, nb) >= NUMERATOR * F.greatest(na, nb)) & (bound >= _shared_least(na, nb))
+def list_pairs(key: np.ndarray, block: np.ndarray | None, node: np.ndarray, n: np.ndarray, place: np.ndarray, component: np.ndarray, sketch: np.ndarray | None, reach: int | None = None) -> np.ndarray:
+    """Pairs of entries of one list that may link and aren't of one component; entries stand by list and size.
 
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of consecutive rows of one token that may link and aren't of one component; rows come sorted."""
-    last: tuple | None = None
+    Step d holds every entry against the one d places on, for all lists at once. An entry drops out
+    when its list ends or the sizes ahead are too large. With blocks, only entries of different blocks meet.
+    """
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    end = np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
+    i = np.arange(len(key))
+    found = []
+    d = 0
+    while len(i) and (reach is None or d < reach):
+        d += 1
+        i = i[i + d < end[i]]
+        i = i[DENOMINATOR * n[i] >= NUMERATOR * n[i + d]]
+        j = i + d
+        least = least_shared(n[i] + n[j])
+        follow = np.minimum(n[i] - place[i], n[j] - place[j])
+        if reach is not None:
+            follow = follow + np.minimum(place[i], place[j])
+        # In the list of the first token that a pair shares, what follows in both sets must hold all it needs.
+        # A linked pair passes there, so lists of later tokens need not give it again; a pass that looks
+        # only so far ahead takes what may link from any list.
+        ok = (component[i] != component[j]) & (follow >= least)
+        if block is not None:
+            ok &= (block[i] != block[j]) | (block[i] < 0)
+        a, b = i[ok], j[ok]
+        if sketch is not None and len(a):
+            near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= n[a] + n[b] - 2 * least[ok]
+            a, b = a[near], b[near]
+        if len(a):
+            found.append(np.sort(np.stack([node[a], node[b]]), axis=0))
+    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+
+
+_PARTNERS = "a long, partners array<long>"
+
+
+def _partners(pairs: np.ndarray) -> pa.RecordBatch:
+    """Sorted distinct pairs as one row for each first entry."""
+    starts = np.flatnonzero(np.r_[True, pairs[0, 1:] != pairs[0, :-1]])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, pairs.shape[1]].astype(np.int32)), pa.array(pairs[1]))
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0, starts]), lists], names=["a", "partners"])
+
+
+def distinct_pairs(found: DataFrame) -> DataFrame:
+    """(a, b) once each. Two sets that are alike meet in many lists, so their pairs are folded by entry before they become rows."""
+    return found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select("a", F.explode("partners").alias("b"))
+
+
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of close neighbours in lists that come in order; those that a batch's end parts are left to the later pass."""
     for batch in batches:
         token, node, n, place, component = (batch.column(c).to_numpy() for c in ("token", "id", "n", "place", "component"))
-        if last is not None:
-            token, node, n, place, component = (np.r_[x, y] for x, y in zip(last, (token, node, n, place, component)))
-        na, nb, qa, qb = n[:-1].astype(np.int64), n[1:].astype(np.int64), place[:-1].astype(np.int64), place[1:].astype(np.int64)
-        least = -(-NUMERATOR * (na + nb) // (NUMERATOR + DENOMINATOR))
-        ok = (token[:-1] == token[1:]) & (component[:-1] != component[1:]) & (DENOMINATOR * np.minimum(na, nb) >= NUMERATOR * np.maximum(na, nb))
-        ok &= np.minimum(qa, qb) + np.minimum(na - qa, nb - qb) >= least
-        last = tuple(x[-1:] for x in (token, node, n, place, component))
-        if ok.any():
-            pairs = np.unique(np.sort(np.stack([node[:-1][ok], node[1:][ok]]), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        pairs = list_pairs(token, None, node, n, place, component, None, REACH)
+        if pairs.shape[1]:
+            yield _partners(pairs)
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs within lists that come in order, each list or pair of blocks together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def settle(table: pa.RecordBatch) -> pa.RecordBatch | None:
+        key = textkit.mix(table.column("token").to_numpy().view(np.uint64)) ^ textkit.mix(table.column("pair").to_numpy().astype(np.uint64) + np.uint64(1))
+        # -1 marks entries of a list, or of two equal blocks, that all meet.
+        pairs = list_pairs(key, table.column("block").to_numpy(), *(table.column(c).to_numpy() for c in ("id", "n", "place", "component")), _sketches(table.column("fold")))
+        return _partners(pairs) if pairs.shape[1] else None
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < 30_000:
+            continue
+        table = joined()
+        token, pair = table.column("token").to_numpy(), table.column("pair").to_numpy()
+        last = (token == token[-1]) & (pair == pair[-1])
+        tail = int(np.argmax(last))  # the last run may go on
+        held, rows = [table.slice(tail)], table.num_rows - tail
+        if tail and (out := settle(table.slice(0, tail))) is not None:
+            yield out
+    if held and (out := settle(joined())) is not None:
+        yield out
 
 
 def _only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,25 +244,29 @@ class _Join:
             for batch in textkit.slices(batches, "text"):
                 hashes, sizes = shingle_sets(batch.column("text"))
                 ends = np.cumsum(sizes)
-                name, prefix, sketch = [], [], []
+                name, prefix, sketch, fold = [], [], [], []
                 for a, b in zip((ends - sizes).tolist(), ends.tolist()):
                     own = hashes[a:b]
                     if not len(own):
                         name.append(None)
                         prefix.append(None)
                         sketch.append(None)
+                        fold.append(None)
                         continue
                     spread = textkit.mix(own)
                     name.append(np.array([spread.sum(dtype=np.uint64), np.bitwise_xor.reduce(textkit.mix(spread + np.uint64(1)))], dtype=np.uint64).tobytes())
                     prefix.append(np.sort(_ordered(own, rank.value))[: prefix_size(len(own))].view(np.int64).tobytes())
-                    sketch.append(parity_sketch(own))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dk"), pa.array(sizes), pa.array(name, pa.binary()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "dk", "n", "name", "prefix", "sketch"])
+                    odd = parity_sketch(own)
+                    sketch.append(odd.tobytes())
+                    fold.append(folded(odd).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dk"), pa.array(sizes), pa.array(name, pa.binary()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary()), pa.array(fold, pa.binary())], names=["doc_id", "dk", "n", "name", "prefix", "sketch", "fold"])
 
         kind = self.documents.schema["doc_id"].dataType.simpleString()
-        fields = f"doc_id {kind}, dk long, n long, name binary, prefix binary, sketch binary"
+        fields = f"doc_id {kind}, dk long, n long, name binary, prefix binary, sketch binary, fold binary"
         described = self.documents.select("doc_id", "text", F.xxhash64("text").alias("dk")).mapInArrow(describe, fields)
-        self.described = shared.written(self.spark, described, "sets")
-        of_set = self.described.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("least_id"), F.min("dk").alias("dk"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        with shared.rows_per_batch(self.spark, 4 * WIDE_ROWS):
+            self.described = shared.written(self.spark, described, "sets")
+        of_set = self.described.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("least_id"), F.min("dk").alias("dk"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold"))
         self.nodes = shared.written(self.spark, of_set.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
         def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,51 +283,53 @@ class _Join:
         self.lists = shared.written(self.spark, ordered.mapInArrow(_only_shared, fields), "lists")
         self.links = self.labels = None
 
-    def labelled(self) -> DataFrame:
-        """The lists with each node's component so far."""
+    def labelled(self, *more: str) -> DataFrame:
+        """The lists with each node's component so far, and other columns of the nodes."""
+        of_node = self.nodes.select("id", *more)
         if self.labels is None:
+            marked = of_node.withColumn("component", F.col("id"))
+        else:
+            marked = of_node.join(self.labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if not more and self.labels is None:
             return self.lists.withColumn("component", F.col("id"))
-        return self.lists.join(self.labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return self.lists.join(marked, "id")
 
-    def join_neighbours(self, seed: int | None) -> None:
-        """Verify each list's neighbours by size, or in an order that a seed draws for each list."""
-        order = ["n", "id"] if seed is None else ["draw"]
-        rows = self.labelled()
-        if seed is not None:
-            rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "id", "token"))
-        rows = rows.repartitionByRange(self.parts, "token", *order).sortWithinPartitions("token", *order)
-        self.add(rows.select("token", "id", "n", "place", "component").mapInArrow(_neighbours, "a long, b long").distinct())
+    def join_neighbours(self) -> None:
+        """Verify close neighbours of each list as it was written, by size."""
+        candidates = distinct_pairs(self.labelled().select("token", "id", "n", "place", "component").mapInArrow(_near_pairs, _PARTNERS))
+        self.verify(candidates)
 
     def join_rest(self) -> None:
         """Verify all pairs of list entries of different components."""
-        rows = self.labelled()
-        blocks = rows.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        some = blocks.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-        blocks = blocks.join(some, "token", "left_semi")
-        left = blocks.select("token", F.col("component").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha"))
-        right = blocks.select("token", F.col("component").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-        meet = left.join(right, "token").filter((F.col("ca") < F.col("cb")) & (DENOMINATOR * F.col("ha") >= NUMERATOR * F.col("lb")) & (DENOMINATOR * F.col("hb") >= NUMERATOR * F.col("la")))
-        entry = lambda s: rows.select("token", F.col("component").alias(f"c{s}"), F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"))
-        pairs = meet.select("token", "ca", "cb").join(entry("a"), ["token", "ca"]).join(entry("b"), ["token", "cb"])
-        pairs = pairs.filter(_may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
-        self.add(pairs.select("a", "b").distinct())
+        large = self.lists.groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > LIST_BLOCK)
+        rows = self.labelled("fold").join(large, "token", "left")
+        blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64(F.lit(2), "id"), blocks).cast("int")
+        # Every two blocks of a large list meet in one task, and each block with itself.
+        meets = F.when(F.col("size").isNotNull(), F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct((F.least(mine, j) * blocks + F.greatest(mine, j)).alias("pair"), F.when(j != mine, mine).otherwise(F.lit(-1)).alias("block"))))
+        alone = F.array(F.struct(F.lit(0).alias("pair"), F.lit(-1).alias("block")))
+        dealt = rows.select("token", "id", "n", "place", "component", "fold", F.explode(F.coalesce(meets, alone)).alias("m")).select("token", "m.pair", "m.block", "id", "n", "place", "component", "fold")
+        grouped = dealt.repartition(self.parts, "token", "pair").sortWithinPartitions("token", "pair", "n", "id")
+        self.verify(distinct_pairs(grouped.mapInArrow(_all_pairs, _PARTNERS)))
 
     def _sized(self, left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
         return left.join(F.broadcast(right) if shared.stored_bytes(self.spark, right) <= BROADCAST_BYTES else right, key, how)
 
-    def add(self, candidates: DataFrame) -> None:
-        """Verify candidate pairs (a, b), keep those that are linked and label the components anew."""
+    def verify(self, pairs: DataFrame) -> None:
+        """Count what pairs (a, b) share, keep those that are linked and label the components anew."""
         spark = self.spark
         side = lambda s: self.nodes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-        sketched = candidates.join(side("a"), "a").join(side("b"), "b")
-        likely = shared.written(spark, sketched.mapInArrow(_within_sketch, "a long, b long, na long, nb long"), "likely")
+        sketched = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within_sketch, "a long, b long")
+        likely = shared.written(spark, sketched, "likely")
         ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
         wanted = shared.written(spark, ends.join(self.nodes.select("id", "dk"), "id").select("id", "dk"), "wanted")
         texts = self._sized(self.documents.select(F.xxhash64("text").alias("dk"), "text"), wanted, "dk").select("id", "text")
-        sets = shared.written(spark, texts.mapInArrow(_set_rows, "id long, tokens binary").dropDuplicates(["id"]), "tokens")
+        # One exchange by id folds copies and serves both sides of the join.
+        sets = texts.mapInArrow(_set_rows, "id long, tokens binary").dropDuplicates(["id"])
         side = lambda s: sets.select(F.col("id").alias(s), F.col("tokens").alias(f"t{s}"))
         linked = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked, "a long, b long")
-        links = shared.written(spark, linked, "linked")
+        with shared.rows_per_batch(spark, WIDE_ROWS):
+            links = shared.written(spark, linked, "linked")
         self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = components(spark, self.links)
 
@@ -247,13 +338,12 @@ def _within_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         keep = []
         for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))):
-            x, y = sorted((np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)), key=len)
-            while len(y) > len(x):  # a longer sketch folds into a shorter one
-                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-            least = -(-NUMERATOR * (na + nb) // (NUMERATOR + DENOMINATOR))
-            keep.append(int(np.bitwise_count(x ^ y).sum()) <= na + nb - 2 * least)
+            x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
+            words = min(len(x), len(y))
+            apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+            keep.append(apart <= na + nb - 2 * int(least_shared(na + nb)))
         if any(keep):
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +374,7 @@ def linked_groups(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """
     shared.ship(spark)
     join = _Join(spark, documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    join.join_neighbours(None)
-    join.join_neighbours(1)
+    join.join_neighbours()
     join.join_rest()
     labelled = join.nodes.select("id", "name", "least_id").join(join.labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))

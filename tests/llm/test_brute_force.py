@@ -311,15 +311,22 @@ def test_jaccard_of_chains_and_near_misses(spark):
     assert got == want and len({c for _, c in want.values()}) < len(want) - 50
 
 
+def test_jaccard_of_lists_in_blocks(spark, texts, monkeypatch):
+    """Lists that are dealt over tasks in blocks give the same groups."""
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "REACH", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op6_jaccard_join(spark, SF).collect()}
+    assert got == plain_groups(texts)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.sets(st.integers(0, 400), max_size=120), st.sets(st.integers(0, 400), max_size=120))
 def test_parity_sketch_never_exceeds_the_difference(a, b):
     if a and b:
-        x, y = (np.frombuffer(jaccard_join.parity_sketch(textkit.mix(np.array(sorted(s), dtype=np.uint64))), np.uint64) for s in (a, b))
-        x, y = sorted((x, y), key=len)
-        while len(y) > len(x):
-            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-        assert int(np.bitwise_count(x ^ y).sum()) <= len(a ^ b)
+        x, y = (jaccard_join.parity_sketch(textkit.mix(np.array(sorted(s), dtype=np.uint64))) for s in (a, b))
+        for words in {4, min(len(x), len(y))}:
+            apart = np.bitwise_count(jaccard_join.folded(x, words) ^ jaccard_join.folded(y, words)).sum()
+            assert int(apart) <= len(a ^ b)
 
 
 # --- HTML
