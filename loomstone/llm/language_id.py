@@ -9,14 +9,14 @@ Scoring computes each distinct word of a batch once, for all languages together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ SAMPLE_PER_LANGUAGE = 400
 #: A run of letters longer than this is scored in pieces of this many characters.
 LONGEST_WORD = 48
 _LONGEST_PIECE = 12
-_KEPT_BYTES = 48 << 20
+_KEPT_BYTES = 24 << 20
 _MARK = "▁"
 
 
@@ -188,12 +188,12 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.slots = textkit.Slots(max(100_000, _KEPT_BYTES // (8 * max(1, len(model.languages)))))
+        self.slots = textkit.Slots(min(1_500_000, max(100_000, _KEPT_BYTES // (4 * max(1, len(model.languages))))))
         self.clear()
 
     def clear(self) -> None:
         self.slots.clear()
-        self.scores = np.empty((1024, len(self.model.languages)))
+        self.scores = np.empty((1024, len(self.model.languages)), np.float32)
 
     def _learn(self, fresh: list[bytes], hashed: np.ndarray) -> None:
         words = [w.decode("utf-8", "replace") for w in fresh]
@@ -222,10 +222,33 @@ class Scorer:
             self._learn(textkit.span_bytes(data, starts[fresh], ends[fresh]), hashed[fresh])
             slot[new] = self.slots.find(hashed[new])
         some = np.flatnonzero(counts)
-        out[some] = np.add.reduceat(self.scores[slot], (np.cumsum(counts) - counts)[some])
+        out[some] = np.add.reduceat(self.scores[slot], (np.cumsum(counts) - counts)[some], dtype=np.float64)
         return out
 
 
+def _best_of(cast: Broadcast) -> Callable:
+    def best(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(cast.value)
+        languages = pa.array([*cast.value.languages, "und"])
+        for column in columns:
+            name, share = [], []
+            for piece in textkit.slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
+                logs = scorer.score(piece.column(0))
+                if not logs.shape[1]:
+                    name.append(np.zeros(len(logs), np.int64))
+                    share.append(np.zeros(len(logs)))
+                    continue
+                name.append(logs.argmax(axis=1))
+                share.append(1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1))
+            empty = not name
+            names = languages.take(pa.array(np.zeros(0, np.int64) if empty else np.concatenate(name)))
+            shares = pa.array(np.zeros(0) if empty else np.concatenate(share))
+            yield pa.StructArray.from_arrays([names, shares], names=["lang_pred", "score"])
+
+    best.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return best
+
+
 def predict(spark: SparkSession, texts: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`texts` with lang_pred and score, the share of the best language in the sum of the likelihoods.
 
@@ -234,26 +257,7 @@ def predict(spark: SparkSession, texts: DataFrame, model: Model, text: str = "te
     """
     shared.ship(spark)
     cast = spark.sparkContext.broadcast(model)  # a fixed vocabulary by the number of languages
-
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def best(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(cast.value)
-        languages = np.array([*cast.value.languages, "und"], dtype=object)
-        for column in columns:
-            array = pa.array(column, pa.large_string(), from_pandas=True)
-            batch = pa.RecordBatch.from_arrays([array], ["text"])
-            name, share = [], []
-            for piece in textkit.slices(iter([batch]), "text"):
-                logs = scorer.score(piece.column(0))
-                if not logs.shape[1]:
-                    name += ["und"] * len(logs)
-                    share += [0.0] * len(logs)
-                    continue
-                top = logs.argmax(axis=1)
-                name += languages[top].tolist()
-                share += (1 / np.exp(np.minimum(logs - logs.max(axis=1, keepdims=True), 0)).sum(axis=1)).tolist()
-            yield pd.DataFrame({"lang_pred": name, "score": share})
-
+    best = F.arrow_udf(_best_of(cast), "struct<lang_pred string, score double>")
     known = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
     scored = texts.withColumn("__best", best(F.col(f"`{text}`"))).withColumn("__known", known)
     return scored.withColumns({"lang_pred": F.when(F.col("__known"), F.col("__best.lang_pred")).otherwise("und"), "score": F.when(F.col("__known"), F.col("__best.score")).otherwise(0.0)}).drop("__best", "__known")

@@ -26,7 +26,7 @@ from loomstone.llm import shared, textkit
 CAPACITY = 4096
 END_ID = 2
 _SEPARATOR = "<|startoftext|>"
-_KEPT_CHUNKS = 2_000_000
+_KEPT_CHUNKS = 1_500_000
 _opened: dict[str, ChunkTokenizer] = {}
 
 
@@ -35,7 +35,7 @@ class ChunkTokenizer:
 
     The tokenizer turns white space into breaks and cuts no token across it, so a text's ids are those
     of its chunks in a row. A chunk is tokenized when first seen and found by its 64-bit hash after
-    that; when two million are kept, the worker starts anew.
+    that; when 1.5 million are kept, the worker starts anew.
     """
 
     def __init__(self, path: str) -> None:
@@ -121,7 +121,7 @@ def pack(spark: SparkSession, documents: DataFrame, tokenizer_path: str | None =
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = ChunkTokenizer.opened(path), TaskContext.get().partitionId()
         seen = [0] * capacity.bit_length()
-        for batch in textkit.slices(batches, "text", 2 << 20):
+        for batch in textkit.slices(batches, "text", 1 << 20):
             ids, lengths = tokens.encode(batch.column("text"))
             doc: list[int] = []
             start: list[int] = []

@@ -7,12 +7,19 @@ modulo 2**64, taken from one running sum, so its cost is per byte and not per wo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 WHITE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
 
@@ -77,7 +84,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def tidy() -> None:
+    """Give memory that isn't used back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `most` bytes of `column`, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -88,6 +102,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    tidy()
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +192,7 @@ class Slots:
 
     def add(self, hashed: np.ndarray) -> np.ndarray:
         """Slots count, count + 1, .. for distinct hashes that are not in the table."""
-        while (self.count + len(hashed)) * 2 > self._mask:
+        while (self.count + len(hashed)) * 4 > self._mask * 3:
             old = self._slots >= 0
             keys, slots = self._keys[old], self._slots[old]
             self._resize(65 - int(self._shift))
