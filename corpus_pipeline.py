@@ -17,6 +17,8 @@ from loomstone.llm import decontamination, jaccard_join, language_id, packing, s
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has less of the likelihood than this is rejected.
 LEAST_SCORE = 0.5
+#: Near copies share 0.8 or more of their runs of five words.
+NEAR = jaccard_join.Likeness(5, 8, 10)
 _SCOPE = "pipeline"
 
 
@@ -33,7 +35,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies."""
     shared.release(spark, _SCOPE)
     with shared.scope(_SCOPE):
-        return jaccard_join.one_of_each(spark, shared.only(docs, *COLUMNS)).select(*COLUMNS)
+        return jaccard_join.one_of_each(spark, shared.only(docs, *COLUMNS), NEAR).select(*COLUMNS)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """N-gram Jaccard join: set relations let an index join skip blocks of its lists and whole answers.
 
-Two sets are linked when 100 * shared >= 90 * united, a Jaccard similarity of 0.9. Every set is ordered
+Two sets are linked when their Jaccard similarity, shared / united, is that of the call's Likeness or
+more: three words and 0.9 unless said otherwise. Every set is ordered
 by how many documents hold its tokens, rarest first; two linked sets share a token of their prefixes,
 which index lists collect. Sizes, and a token's positions in both sets, bound what two sets can share:
 
@@ -20,6 +21,7 @@ of its blocks to one. Tokens are 64-bit hashes of shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,6 @@ from loomstone.llm import shared, textkit
 from loomstone.llm.components import components
 
 SHINGLE = 3
-#: The similarity, as a ratio of whole numbers.
-NUMERATOR, DENOMINATOR = 9, 10
 #: Frequencies are counted in this many classes of hashes, whatever the corpus.
 CLASSES = 1 << 16
 SKETCH_BITS = 256
@@ -44,6 +44,25 @@ BROADCAST_BYTES = 24 << 20
 WIDE_ROWS = 256
 
 
+class Likeness(NamedTuple):
+    """When two texts are linked: the words of a shingle and the least similarity, as a ratio of whole numbers."""
+
+    shingle: int = SHINGLE
+    numerator: int = 9
+    denominator: int = 10
+
+    def prefix_size(self, n: int) -> int:
+        return n - -(-self.numerator * n // self.denominator) + 1
+
+    def least_shared(self, sizes: np.ndarray) -> np.ndarray:
+        """The shared tokens that a link needs, such as ceil(9 (a + b) / 19), of the sum of two sizes."""
+        return -(-self.numerator * sizes // (self.numerator + self.denominator))
+
+
+#: op6's contract.
+CLOSE = Likeness()
+
+
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, number per text): the distinct n-word shingles of each lower-cased text; with fewer words, all words as one."""
     data, offsets = textkit.utf8(column)
@@ -63,10 +82,6 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return np.concatenate(out) if out else np.empty(0, np.uint64), sizes
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
-
-
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     """A bit for each class of hashes, whether the set has an odd number of them; twice as many classes as tokens and more, and a power of two."""
     bits = max(SKETCH_BITS, 1 << (2 * len(hashes) - 1).bit_length())
@@ -81,15 +96,10 @@ def folded(sketch: np.ndarray, words: int = SKETCH_BITS // 64) -> np.ndarray:
     return sketch
 
 
-def least_shared(sizes: np.ndarray) -> np.ndarray:
-    """The shared tokens that a link needs, ceil(9 (a + b) / 19), of the sum of two sizes."""
-    return -(-NUMERATOR * sizes // (NUMERATOR + DENOMINATOR))
-
-
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_counts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CLASSES, dtype=np.int64)
     for batch in textkit.slices(batches, "text"):
-        hashes, _ = shingle_sets(batch.column("text"))
+        hashes, _ = shingle_sets(batch.column("text"), n)
         total += np.bincount((hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["class", "n"])
@@ -104,7 +114,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(textkit.utf8(column)[0].tobytes(), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
-def list_pairs(key: np.ndarray, block: np.ndarray | None, node: np.ndarray, n: np.ndarray, place: np.ndarray, component: np.ndarray, sketch: np.ndarray | None, reach: int | None = None) -> np.ndarray:
+def list_pairs(key: np.ndarray, block: np.ndarray | None, node: np.ndarray, n: np.ndarray, place: np.ndarray, component: np.ndarray, sketch: np.ndarray | None, like: Likeness, reach: int | None = None) -> np.ndarray:
     """Pairs of entries of one list that may link and aren't of one component; entries stand by list and size.
 
     Step d holds every entry against the one d places on, for all lists at once. An entry drops out
@@ -119,9 +129,9 @@ def list_pairs(key: np.ndarray, block: np.ndarray | None, node: np.ndarray, n: n
     while len(i) and (reach is None or d < reach):
         d += 1
         i = i[i + d < end[i]]
-        i = i[DENOMINATOR * n[i] >= NUMERATOR * n[i + d]]
+        i = i[like.denominator * n[i] >= like.numerator * n[i + d]]
         j = i + d
-        least = least_shared(n[i] + n[j])
+        least = like.least_shared(n[i] + n[j])
         follow = np.minimum(n[i] - place[i], n[j] - place[j])
         if reach is not None:
             follow = follow + np.minimum(place[i], place[j])
@@ -155,16 +165,16 @@ def distinct_pairs(found: DataFrame) -> DataFrame:
     return found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select("a", F.explode("partners").alias("b"))
 
 
-def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_pairs(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """Pairs of close neighbours in lists that come in order; those that a batch's end parts are left to the later pass."""
     for batch in batches:
         token, node, n, place, component = (batch.column(c).to_numpy() for c in ("token", "id", "n", "place", "component"))
-        pairs = list_pairs(token, None, node, n, place, component, None, REACH)
+        pairs = list_pairs(token, None, node, n, place, component, None, like, REACH)
         if pairs.shape[1]:
             yield _partners(pairs)
 
 
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_pairs(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """All pairs within lists that come in order, each list or pair of blocks together."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -172,7 +182,7 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(table: pa.RecordBatch) -> pa.RecordBatch | None:
         key = textkit.mix(table.column("token").to_numpy().view(np.uint64)) ^ textkit.mix(table.column("pair").to_numpy().astype(np.uint64) + np.uint64(1))
         # -1 marks entries of a list, or of two equal blocks, that all meet.
-        pairs = list_pairs(key, table.column("block").to_numpy(), *(table.column(c).to_numpy() for c in ("id", "n", "place", "component")), _sketches(table.column("fold")))
+        pairs = list_pairs(key, table.column("block").to_numpy(), *(table.column(c).to_numpy() for c in ("id", "n", "place", "component")), _sketches(table.column("fold")), like)
         return _partners(pairs) if pairs.shape[1] else None
 
     def joined() -> pa.RecordBatch:
@@ -224,11 +234,12 @@ def _only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Join:
     """The state of one join: nodes, index lists and links found so far."""
 
-    def __init__(self, spark: SparkSession, documents: DataFrame) -> None:
+    def __init__(self, spark: SparkSession, documents: DataFrame, like: Likeness) -> None:
         self.spark = spark
         self.documents = documents
+        self.like = like
         self.parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        classes = documents.select("text").mapInArrow(_class_counts, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
+        classes = documents.select("text").mapInArrow(lambda it: _class_counts(it, like.shingle), "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
         counts = np.zeros(CLASSES, dtype=np.int64)
         for r in classes:
             counts[r["class"]] = r["n"]
@@ -238,11 +249,11 @@ class _Join:
         self._read_documents()
 
     def _read_documents(self) -> None:
-        rank = self.rank
+        rank, like = self.rank, self.like
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in textkit.slices(batches, "text"):
-                hashes, sizes = shingle_sets(batch.column("text"))
+                hashes, sizes = shingle_sets(batch.column("text"), like.shingle)
                 ends = np.cumsum(sizes)
                 name, prefix, sketch, fold = [], [], [], []
                 for a, b in zip((ends - sizes).tolist(), ends.tolist()):
@@ -255,7 +266,7 @@ class _Join:
                         continue
                     spread = textkit.mix(own)
                     name.append(np.array([spread.sum(dtype=np.uint64), np.bitwise_xor.reduce(textkit.mix(spread + np.uint64(1)))], dtype=np.uint64).tobytes())
-                    prefix.append(np.sort(_ordered(own, rank.value))[: prefix_size(len(own))].view(np.int64).tobytes())
+                    prefix.append(np.sort(_ordered(own, rank.value))[: like.prefix_size(len(own))].view(np.int64).tobytes())
                     odd = parity_sketch(own)
                     sketch.append(odd.tobytes())
                     fold.append(folded(odd).tobytes())
@@ -296,11 +307,13 @@ class _Join:
 
     def join_neighbours(self) -> None:
         """Verify close neighbours of each list as it was written, by size."""
-        candidates = distinct_pairs(self.labelled().select("token", "id", "n", "place", "component").mapInArrow(_near_pairs, _PARTNERS))
+        like = self.like
+        candidates = distinct_pairs(self.labelled().select("token", "id", "n", "place", "component").mapInArrow(lambda it: _near_pairs(it, like), _PARTNERS))
         self.verify(candidates)
 
     def join_rest(self) -> None:
         """Verify all pairs of list entries of different components."""
+        like = self.like
         large = self.lists.groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > LIST_BLOCK)
         rows = self.labelled("fold").join(large, "token", "left")
         blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
@@ -310,62 +323,62 @@ class _Join:
         alone = F.array(F.struct(F.lit(0).alias("pair"), F.lit(-1).alias("block")))
         dealt = rows.select("token", "id", "n", "place", "component", "fold", F.explode(F.coalesce(meets, alone)).alias("m")).select("token", "m.pair", "m.block", "id", "n", "place", "component", "fold")
         grouped = dealt.repartition(self.parts, "token", "pair").sortWithinPartitions("token", "pair", "n", "id")
-        self.verify(distinct_pairs(grouped.mapInArrow(_all_pairs, _PARTNERS)))
+        self.verify(distinct_pairs(grouped.mapInArrow(lambda it: _all_pairs(it, like), _PARTNERS)))
 
     def _sized(self, left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
         return left.join(F.broadcast(right) if shared.stored_bytes(self.spark, right) <= BROADCAST_BYTES else right, key, how)
 
     def verify(self, pairs: DataFrame) -> None:
         """Count what pairs (a, b) share, keep those that are linked and label the components anew."""
-        spark = self.spark
+        spark, like = self.spark, self.like
         side = lambda s: self.nodes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-        sketched = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within_sketch, "a long, b long")
+        sketched = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _within_sketch(it, like), "a long, b long")
         likely = shared.written(spark, sketched, "likely")
         ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
         wanted = shared.written(spark, ends.join(self.nodes.select("id", "dk"), "id").select("id", "dk"), "wanted")
         texts = self._sized(self.documents.select(F.xxhash64("text").alias("dk"), "text"), wanted, "dk").select("id", "text")
         # One exchange by id folds copies and serves both sides of the join.
-        sets = texts.mapInArrow(_set_rows, "id long, tokens binary").dropDuplicates(["id"])
+        sets = texts.mapInArrow(lambda it: _set_rows(it, like.shingle), "id long, tokens binary").dropDuplicates(["id"])
         side = lambda s: sets.select(F.col("id").alias(s), F.col("tokens").alias(f"t{s}"))
-        linked = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked, "a long, b long")
+        linked = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _linked(it, like), "a long, b long")
         with shared.rows_per_batch(spark, WIDE_ROWS):
             links = shared.written(spark, linked, "linked")
         self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = components(spark, self.links)
 
 
-def _within_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within_sketch(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))):
             x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
             words = min(len(x), len(y))
             apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
-            keep.append(apart <= na + nb - 2 * int(least_shared(na + nb)))
+            keep.append(apart <= na + nb - 2 * int(like.least_shared(na + nb)))
         if any(keep):
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in textkit.slices(batches, "text"):
-        hashes, sizes = shingle_sets(batch.column("text"))
+        hashes, sizes = shingle_sets(batch.column("text"), n)
         ends = np.cumsum(sizes)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([hashes[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())], pa.binary())], names=["id", "tokens"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
             x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
             both = np.sort(np.concatenate([x, y]))
             common = int((both[1:] == both[:-1]).sum())
-            keep.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
+            keep.append(like.denominator * common >= like.numerator * (len(x) + len(y) - common))
         if any(keep):
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def linked_groups(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def linked_groups(spark: SparkSession, documents: DataFrame, like: Likeness = CLOSE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `documents` (doc_id, text).
 
     component_id is the least doc_id that links reach, the row's own included; a null id counts only
@@ -373,7 +386,7 @@ def linked_groups(spark: SparkSession, documents: DataFrame) -> DataFrame:
     rows of their own, with one component.
     """
     shared.ship(spark)
-    join = _Join(spark, documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    join = _Join(spark, documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), like)
     join.join_neighbours()
     join.join_rest()
     labelled = join.nodes.select("id", "name", "least_id").join(join.labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -383,9 +396,9 @@ def linked_groups(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def one_of_each(spark: SparkSession, documents: DataFrame, like: Likeness = CLOSE) -> DataFrame:
     """`documents` with one document of each linked group, that of the least id; a null id stays."""
-    others = linked_groups(spark, documents.select("doc_id", "text")).filter("doc_id != component_id").select("doc_id").distinct()
+    others = linked_groups(spark, documents.select("doc_id", "text"), like).filter("doc_id != component_id").select("doc_id").distinct()
     others = shared.written(spark, others, "others")
     small = shared.stored_bytes(spark, others) <= BROADCAST_BYTES
     return documents.join(F.broadcast(others) if small else others, "doc_id", "left_anti")
