@@ -378,6 +378,14 @@ def _linked(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Re
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _joined(spark: SparkSession, documents: DataFrame, like: Likeness) -> _Join:
+    shared.ship(spark)
+    join = _Join(spark, documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), like)
+    join.join_neighbours()
+    join.join_rest()
+    return join
+
+
 def linked_groups(spark: SparkSession, documents: DataFrame, like: Likeness = CLOSE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `documents` (doc_id, text).
 
@@ -385,10 +393,7 @@ def linked_groups(spark: SparkSession, documents: DataFrame, like: Likeness = CL
     where no other is reached. A text without words, or null, is linked with nothing. Equal rows are
     rows of their own, with one component.
     """
-    shared.ship(spark)
-    join = _Join(spark, documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), like)
-    join.join_neighbours()
-    join.join_rest()
+    join = _joined(spark, documents, like)
     labelled = join.nodes.select("id", "name", "least_id").join(join.labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = shared.written(spark, labelled.join(least, "component").select("name", "component_id"), "components")
@@ -397,8 +402,22 @@ def linked_groups(spark: SparkSession, documents: DataFrame, like: Likeness = CL
 
 
 def one_of_each(spark: SparkSession, documents: DataFrame, like: Likeness = CLOSE) -> DataFrame:
-    """`documents` with one document of each linked group, that of the least id; a null id stays."""
-    others = linked_groups(spark, documents.select("doc_id", "text"), like).filter("doc_id != component_id").select("doc_id").distinct()
-    others = shared.written(spark, others, "others")
-    small = shared.stored_bytes(spark, others) <= BROADCAST_BYTES
-    return documents.join(F.broadcast(others) if small else others, "doc_id", "left_anti")
+    """`documents` with one row of each linked group: of those with the least id any one with the least text hash.
+
+    Rows are told apart, not ids: equal rows are one group, rows that share an id may be of several, and a
+    null id comes after all others. Texts without words are linked with nothing and stay.
+    """
+    join = _joined(spark, documents, like)
+    labelled = join.nodes.select("id", "name").join(join.labels, "id", "left").select("name", F.coalesce("component", "id").alias("component"))
+    rows = join.described.filter("n > 0").select("doc_id", "dk", "name").join(labelled, "name")
+    copies = shared.written(spark, rows.groupBy("component", "doc_id", "dk").agg(F.count("*").alias("copies")), "copies")
+    first = copies.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "dk")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("dk") == F.col("first.dk"))
+    judged = copies.join(first, "component").withColumn("stays", stays).filter(~F.col("stays") | (F.col("copies") > 1))
+    # Rows that are neither dropped nor repeated, most of them, meet this table and go on as they are.
+    judged = shared.written(spark, judged.select(F.col("doc_id").alias("__id"), F.col("dk").alias("__dk"), F.col("stays").alias("__stays")), "judged")
+    small = shared.stored_bytes(spark, judged) <= BROADCAST_BYTES
+    keyed = documents.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = keyed.join(F.broadcast(judged) if small else judged, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__dk")), "left")
+    repeated = marked.filter("__stays").dropDuplicates(["doc_id", "__key"])
+    return marked.filter("__stays is null").unionByName(repeated).drop("__key", "__id", "__dk", "__stays")

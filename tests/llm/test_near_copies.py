@@ -68,3 +68,40 @@ def test_stage_joins_at_five_words(spark):
     table = [(d, t, "en", "src", len(t)) for d, t in texts.items()]
     docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, "").collect()} == {1, 3}
+
+
+def prose(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+
+def test_one_row_of_each_group_survives(spark, tmp_path):
+    """Rows that repeat, share an id or have none: one row of each group stays, whole, through the cut of repeats."""
+    a, b, c, d, e, f = (prose(k) for k in range(6))
+    rows = [
+        (1, a), (1, a), (1, a),  # equal rows
+        (2, b), (2, c), (3, c + " tail"),  # one id, two texts; a copy of one of them
+        (0, b),  # the copy of the other with the lesser id
+        (None, d), (None, d),  # equal rows without an id
+        (None, e), (7, e),  # an id comes before none
+        (8, f),
+        (9, None), (9, None), (9, ""),  # linked with nothing
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    corpus_pipeline.join_near_copies(spark, docs, "").write.parquet(f"{tmp_path}/kept")
+    got = spark.read.parquet(f"{tmp_path}/kept")
+    key = lambda r: (-1 if r[0] is None else r[0], r[1] or "")
+    want = [(1, a), (0, b), (2, c), (None, d), (7, e), (8, f), (9, ""), (9, ""), (9, "")]
+    assert sorted(key(r) for r in got.collect()) == sorted(key(r) for r in want)
+    after = corpus_pipeline.remove_repeats(spark, got, "")
+    assert sorted(key(r) for r in after.collect()) == sorted(key(r) for r in want)
+
+
+def test_equal_rows_survive_all_stages(spark, tmp_path):
+    spark.createDataFrame([(1, "no such passage stands in any of these texts at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew potions near a river of glass and stone " * 2
+    other = "two rows of one id may hold texts that have nothing to do with each other and then both of them are wanted in what comes out of here"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(1, text), (1, text), (1, other), (None, other + " again"), (None, other + " again")]], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len([r for r in got if r.doc_id == 1 and r.start == 0]) == 2
