@@ -4,7 +4,9 @@ For every element of the page: characters per tag, adjusted by how many of its c
 are links. The densities of an element's children are summed; the element with the largest sum is
 the core of the page, and the least density on the way from it up to the body is the page's
 threshold. From the body down, each element at the threshold or above gives its subtree of largest
-sum. Elements that can't be content by their kind or name are left out of all of it.
+sum. Elements that can't be content by their kind are left out of all of it, and so are those whose
+name tells of a menu, an advert and the like, unless the page says otherwise: a name counts only where
+what bears it holds a minor share of the page's text, or stands beside its article, and doesn't hold that.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from loomstone.llm import shared
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("script style noscript template head iframe object embed svg canvas audio video map nav footer aside form button select option textarea input menu dialog title".split())
+NEVER = frozenset("script style noscript template head iframe object embed svg canvas audio video map nav footer aside button select option textarea input menu dialog title".split())
 #: An opening tag of the first kind ends an open element of the second, within the nearest of the third.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -37,6 +39,11 @@ ENDS = {
 }
 #: Words in a class, id or role that tell of a menu, an advert, a notice and the like.
 NAMES = re.compile(r"(?<![a-z])(?:ads?|advert\w*|adverts?|banner|breadcrumbs?|byline|comments?|consent|cookies?|copyright|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|paywall|popup|promo\w*|recommended|related|replies|respond|share|sharing|sidebar|sidenav|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])")
+#: The largest shares of the body's text outside links that the bearers of a name may hold together for
+#: it to count: a name that is a whole class, id or role (and a form), and one that is a part of it.
+WHOLE_SHARE, PART_SHARE = 0.5, 0.25
+#: How often the text of the page's marked article the bearers of whole names beside it may hold.
+BESIDE = 4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _HINT = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
@@ -49,8 +56,12 @@ class _Page:
         self.parent = [-1]
         self.kids: list[list[int | str]] = [[]]
         self.drop = [False]
+        #: (word, whether it stands alone) of each element that bears a name
+        self.names: dict[int, frozenset[tuple[str, bool]]] = {}
         self.body = 0
         self._read(source)
+        if self.names:
+            self._drop_named()
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> int:
         node, up = len(self.tag), stack[-1]
@@ -58,15 +69,72 @@ class _Page:
         self.parent.append(up)
         self.kids.append([])
         drop = tag in NEVER or tag == "header" and not any(self.tag[i] in ("article", "main") for i in stack)
+        names = [("form", True)] if tag == "form" else []
         if not drop and attributes and tag not in ("body", "html", "article", "main"):
             for m in _HINT.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-                if key == "hidden" or key == "aria-hidden" and value == "true" or key in ("class", "id", "role") and NAMES.search(value):
+                if key == "hidden" or key == "aria-hidden" and value == "true":
                     drop = True
+                elif key in ("class", "id", "role"):
+                    names += [(n[0], n[0] == token) for token in value.split() for n in NAMES.finditer(token)]
         self.drop.append(drop)
+        if names and not drop:
+            self.names[node] = frozenset(names)
         self.kids[up].append(node)
         return node
 
+    def _sizes(self) -> list[int]:
+        """The characters of each element outside links."""
+        size = [0] * len(self.tag)
+        for i in range(len(self.tag) - 1, -1, -1):
+            if not self.drop[i] and self.tag[i] != "a":
+                size[i] = sum(len("".join(k.split())) if isinstance(k, str) else size[k] for k in self.kids[i])
+        return size
+
+    def _drop_named(self) -> None:
+        """Drop the elements that bear a name which counts on this page."""
+        n = len(self.tag)
+        size, article = self._sizes(), [False] * n
+        # The page's article: main, and the longest of the articles, since comments may be articles too.
+        longest = max((i for i in range(n) if self.tag[i] == "article"), key=lambda i: size[i], default=0)
+        marked = {i for i in range(n) if self.tag[i] == "main" or i == longest and i}
+        for i in range(n - 1, 0, -1):
+            if i in marked or article[i]:
+                article[self.parent[i]] = True
+        above: list[frozenset[tuple[str, bool]]] = [frozenset()] * n
+        for i in range(1, n):
+            above[i] = above[self.parent[i]] | self.names[i] if i in self.names else above[self.parent[i]]
+        barred = frozenset().union(*(self.names[i] for i in self.names if article[i]))
+
+        def held() -> dict[tuple[str, bool], int]:
+            out: dict[tuple[str, bool], int] = {}
+            for i, names in self.names.items():
+                for name in names - above[self.parent[i]] - barred:
+                    out[name] = out.get(name, 0) + size[i]
+            return out
+
+        # Beside an article that the page marks and no name covers, whole names count even if the article is the shorter.
+        clear = max((size[i] for i in marked if not above[i]), default=0)
+        whole = {name: chars for name, chars in held().items() if name[1] and name[0] != "form"}
+        if sum(whole.values()) <= BESIDE * clear:
+            for i, names in self.names.items():
+                self.drop[i] = self.drop[i] or not names.isdisjoint(whole)
+            size = self._sizes()
+        total = size[self.body]
+        counts = {name for name, chars in held().items() if (not chars or chars < total * (WHOLE_SHARE if name[1] else PART_SHARE))}
+        # Names that each hold little may hold most of the text together: then the whole ones alone count, or none.
+        for trusted in (counts, {name for name in counts if name[1]}, set()):
+            gone, lost = [False] * n, 0
+            for i in range(1, n):
+                up = gone[self.parent[i]]
+                gone[i] = up or i in self.names and not trusted.isdisjoint(self.names[i])
+                if gone[i] and not up:
+                    lost += size[i]
+            if not lost or lost < total * WHOLE_SHARE:
+                break
+        for i in self.names:
+            self.drop[i] = self.drop[i] or not trusted.isdisjoint(self.names[i])
+
     def _read(self, source: str) -> None:
         stack, at, end = [0], 0, len(source)
         while at < end:
