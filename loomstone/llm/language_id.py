@@ -2,7 +2,8 @@
 
 A language's model is a probability for each piece of a public subword vocabulary. A word's
 likelihood is the sum over all ways to cut it into pieces of the product of their probabilities,
-which the forward algorithm gives; a text's is the product over its words. Expectation-maximisation
+which the forward algorithm gives; a text's is the product over its words. Sums are rescaled as they
+go, so a run of letters of any length has its likelihood, whatever the script. Expectation-maximisation
 with forward and backward sums over the words of a bounded labelled sample fits the probabilities.
 Scoring computes each distinct word of a batch once, for all languages together.
 """
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -24,9 +27,10 @@ from loomstone.llm import shared, textkit
 
 #: Labelled documents that a fit may use for each language, at most.
 SAMPLE_PER_LANGUAGE = 400
-#: A run of letters longer than this is scored in pieces of this many characters.
-LONGEST_WORD = 48
-_LONGEST_PIECE = 12
+#: Characters, of words padded to the longest of their group, that are scored together.
+_GROUP = 1 << 18
+#: Positions between two rescalings. Sums shrink by 1e-10 a position at most, so those in reach of a piece stay normal numbers.
+_RESCALE = 8
 _KEPT_BYTES = 24 << 20
 _MARK = "▁"
 
@@ -38,9 +42,16 @@ class Model:
     #: One row per piece and one for a character that is in no piece; a column per language; natural logarithms.
     log_p: np.ndarray
 
+    @cached_property
+    def finder(self) -> Finder:
+        return Finder(self.pieces)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "finder"}
+
 
 def load_pieces(path: str | None = None) -> dict[str, int]:
-    """The vocabulary's pieces of at most 12 characters, in lower case where it has both."""
+    """The vocabulary's pieces, in lower case where it has both."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
@@ -48,52 +59,82 @@ def load_pieces(path: str | None = None) -> dict[str, int]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             piece = model.id_to_piece(i)
-            if len(piece) <= _LONGEST_PIECE and piece == piece.lower():
+            if piece == piece.lower():
                 found[piece] = len(found)
     return found
 
 
-def _edges(words: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, ...]:
-    """All places where a piece fits, as (word, start, end, piece), ordered by end. Any single character fits as itself or as unknown."""
-    word: list[int] = []
-    start: list[int] = []
-    end: list[int] = []
-    which: list[int] = []
-    unknown, get = len(pieces), pieces.get
-    for w, text in enumerate(words):
-        text = _MARK + text
-        n = len(text)
-        for e in range(1, n + 1):
-            for s in range(max(0, e - _LONGEST_PIECE), e):
-                p = get(text[s:e])
-                if p is None:
-                    if s != e - 1:
-                        continue
-                    p = unknown
-                word.append(w)
-                start.append(s)
-                end.append(e)
-                which.append(p)
-    out = np.array([word, start, end, which], dtype=np.int32)
-    out = out[:, np.argsort(out[2], kind="stable")]
-    return out[0], out[1], out[2], out[3]
-
-
-def _forward(n_words: int, edges: tuple[np.ndarray, ...], p: np.ndarray, longest: int) -> np.ndarray:
-    """alpha[word, position, language]: the sum over segmentations of the first `position` characters."""
+class Finder:
+    """Every place where a piece of the vocabulary stands in a word, by an Aho-Corasick automaton."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        self.unknown = len(pieces)
+        self.size = np.array([*map(len, pieces), 1], dtype=np.int64)
+        self.longest = int(self.size.max())
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for piece, number in pieces.items():
+            self.automaton.add_word(piece, number)
+        if pieces:
+            self.automaton.make_automaton()
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """All places where a piece fits, as (word, start, end, piece), ordered by end, then word. Any single character fits as itself or as unknown."""
+        joined = "\n".join(_MARK + w for w in words)
+        lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        begins = np.cumsum(lengths + 1) - (lengths + 1)
+        hits = np.fromiter((x for hit in self.automaton.iter(joined) for x in hit), np.int64) if self.unknown else np.empty(0, np.int64)
+        stop, which = hits[::2] + 1, hits[1::2]
+        single = np.zeros(len(joined) + 1, dtype=bool)
+        single[stop[self.size[which] == 1]] = True
+        every = textkit.spread(begins + 1, lengths)
+        bare = every[~single[every]]
+        stop, which = np.concatenate([stop, bare]), np.concatenate([which, np.full(len(bare), self.unknown)])
+        word = np.searchsorted(begins, stop - 1, side="right") - 1
+        end = stop - begins[word]
+        order = np.lexsort((word, end))
+        word, end, which = word[order], end[order], which[order]
+        return word, end - self.size[which], end, which
+
+
+def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of words in groups of like length, shortest first, of bounded size."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        # A group of n words is as wide as its last; the widths ascend, so n times the width does too.
+        width = lengths[order[at : at + _GROUP]] * np.arange(1, min(_GROUP, len(order) - at) + 1)
+        n = max(1, int(np.searchsorted(width, _GROUP, "right")))
+        yield order[at : at + n]
+        at += n
+
+
+def _forward(lengths: np.ndarray, edges: tuple[np.ndarray, ...], p: np.ndarray, reach: int) -> np.ndarray:
+    """The logarithm of the sum over each word's segmentations, for each language; words by ascending length.
+
+    Only the sums within a piece's reach are kept, in a ring, and rescaled together.
+    """
     word, start, end, which = edges
-    alpha = np.zeros((n_words, longest + 1, p.shape[1]))
+    longest, ring = int(lengths[-1]), reach + 1
+    alpha = np.zeros((len(lengths), ring, p.shape[1]))
     alpha[:, 0] = 1
+    scale = np.zeros((len(lengths), p.shape[1]))
+    out = np.empty_like(scale)
     bounds = np.searchsorted(end, np.arange(longest + 2))
+    done = np.searchsorted(lengths, np.arange(longest + 2))
+    first = np.r_[True, (word[1:] != word[:-1]) | (end[1:] != end[:-1])]
+    from_slot = start % ring
     for e in range(1, longest + 1):
         a, b = bounds[e], bounds[e + 1]
-        w = word[a:b]  # ascends within an end
-        if not len(w):
-            continue
-        gain = alpha[w, start[a:b]] * p[which[a:b]]
-        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        alpha[w[first], e] = np.add.reduceat(gain, first)
-    return alpha
+        at = np.flatnonzero(first[a:b])  # every word that goes on has an edge here
+        alpha[done[e] :, e % ring] = np.add.reduceat(alpha[word[a:b], from_slot[a:b]] * p[which[a:b]], at)
+        if e % _RESCALE == 0:
+            most = alpha[done[e] :].max(axis=1)
+            alpha[done[e] :] /= most[:, None]
+            scale[done[e] :] += np.log(most)
+        if done[e + 1] > done[e]:
+            ended = slice(done[e], done[e + 1])
+            out[ended] = np.log(alpha[ended, e % ring]) + scale[ended]
+    return out
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
@@ -101,50 +142,53 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     out = np.empty((len(words), len(model.languages)))
     p = np.exp(model.log_p)
     lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    order = np.argsort(lengths, kind="stable")
-    for k in range(0, len(order), 4096):  # words of like length together
-        part = order[k : k + 4096]
-        longest = int(lengths[part].max())
-        alpha = _forward(len(part), _edges([words[i] for i in part], model.pieces), p, longest)
-        out[part] = np.log(np.maximum(alpha[np.arange(len(part)), lengths[part]], 1e-300))
+    for part in _groups(lengths):
+        out[part] = _forward(lengths[part], model.finder.edges([words[i] for i in part]), p, model.finder.longest)
     return out
 
 
+def _expected(lengths: np.ndarray, edges: tuple[np.ndarray, ...], log_p: np.ndarray) -> np.ndarray:
+    """The share of each edge in its word's segmentations, by forward and backward sums of logarithms."""
+    word, start, end, which = edges
+    n, longest = len(lengths), int(lengths.max())
+    ahead, behind = (np.full((n, longest + 1), -np.inf) for _ in range(2))
+    ahead[:, 0] = 0
+    behind[np.arange(n), lengths] = 0
+    gain = log_p[which]
+
+    def sums(into: np.ndarray, out_of: np.ndarray, table: np.ndarray, steps: range) -> None:
+        order = np.lexsort((word, into))
+        bounds = np.searchsorted(into[order], np.arange(longest + 2))
+        for k in steps:
+            at = order[bounds[k] : bounds[k + 1]]
+            if len(at):
+                first = np.flatnonzero(np.r_[True, word[at][1:] != word[at][:-1]])
+                table[word[at][first], k] = np.logaddexp.reduceat(table[word[at], out_of[at]] + gain[at], first)
+
+    sums(end, start, ahead, range(1, longest + 1))
+    sums(start, end, behind, range(longest - 1, -1, -1))
+    return np.exp(ahead[word, start] + gain + behind[word, end] - behind[word, 0])
+
+
 def fit_words(counts: dict[str, dict[str, float]], pieces: dict[str, int], rounds: int = 4, prior: float = 0.02) -> Model:
     """Fit by expectation-maximisation to word counts per language; `prior` is added to each piece's expected count."""
     languages = sorted(counts)
     log_p = np.empty((len(pieces) + 1, max(1, len(languages))))
+    finder = Finder(pieces)
+    size = finder.size.astype(float)
     for column, language in enumerate(languages):
         words = [w for w in counts[language] if w]
         weight = np.array([counts[language][w] for w in words], dtype=float)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        groups = []
-        for k in range(0, len(order), 4096):
-            part = order[k : k + 4096]
-            text = [words[i] for i in part]
-            lengths = np.array([len(t) + 1 for t in text])
-            groups.append((part, lengths, _edges(text, pieces)))
-        size = np.array([len(x) for x in pieces] + [1])
-        p = 0.05 ** size.astype(float)
-        p = (p / p.sum())[:, None]
+        lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        groups = [(part, finder.edges([words[i] for i in part])) for part in _groups(lengths)]
+        log = np.log(0.05) * size
+        log -= np.logaddexp.reduce(log)
         for _ in range(rounds):
-            expected = np.zeros(len(p))
-            for part, lengths, edges in groups:
-                word, start, end, which = edges
-                longest = int(lengths.max())
-                alpha = _forward(len(part), edges, p, longest)[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[np.arange(len(part)), lengths] = 1
-                bounds = np.searchsorted(end, np.arange(longest + 2))
-                for e in range(longest, 0, -1):
-                    a, b = bounds[e], bounds[e + 1]
-                    np.add.at(beta, (word[a:b], start[a:b]), beta[word[a:b], e] * p[which[a:b], 0])
-                total = alpha[np.arange(len(part)), lengths]
-                share = alpha[word, start] * p[which, 0] * beta[word, end] / np.maximum(total[word], 1e-300)
-                expected += np.bincount(which, share * weight[part][word], minlength=len(p))
-            expected += prior
-            p = (expected / expected.sum())[:, None]
-        log_p[:, column] = np.log(p[:, 0])
+            expected = np.full(len(size), prior)
+            for part, edges in groups:
+                expected += np.bincount(edges[3], _expected(lengths[part], edges, log) * weight[part][edges[0]], minlength=len(size))
+            log = np.log(expected / expected.sum())
+        log_p[:, column] = log
     return Model(languages, pieces, log_p)
 
 
@@ -177,9 +221,7 @@ def fit(spark: SparkSession, documents: DataFrame, per_language: int = SAMPLE_PE
     rows = texts.select("lang", word.alias("word")).filter("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).collect()
     counts: dict[str, dict[str, float]] = {lang: {} for lang in sizes}
     for r in rows:
-        for k in range(0, len(r["word"]), LONGEST_WORD):
-            part = r["word"][k : k + LONGEST_WORD]
-            counts[r["lang"]][part] = counts[r["lang"]].get(part, 0) + r["n"]
+        counts[r["lang"]][r["word"]] = r["n"]
     return fit_words(counts, load_pieces(pieces_path))
 
 
@@ -196,14 +238,11 @@ class Scorer:
         self.scores = np.empty((1024, len(self.model.languages)), np.float32)
 
     def _learn(self, fresh: list[bytes], hashed: np.ndarray) -> None:
-        words = [w.decode("utf-8", "replace") for w in fresh]
-        parts = [w[k : k + LONGEST_WORD] for w in words for k in range(0, len(w), LONGEST_WORD)]
-        lengths = np.array([-(-len(w) // LONGEST_WORD) for w in words])
-        each = word_scores(parts, self.model)
+        each = word_scores([w.decode("utf-8", "replace") for w in fresh], self.model)
         slots = self.slots.add(hashed)
         while self.slots.count > len(self.scores):
             self.scores = np.resize(self.scores, (2 * len(self.scores), self.scores.shape[1]))
-        self.scores[slots] = np.add.reduceat(each, np.cumsum(lengths) - lengths)
+        self.scores[slots] = each
 
     def score(self, column: pa.Array) -> np.ndarray:
         data, offsets = textkit.utf8(pc.utf8_lower(column))

@@ -397,21 +397,24 @@ def test_license_join_is_exact(spark):
 
 def plain_likelihood(word, model, column):
     text = "▁" + word
-    best = [1.0] + [0.0] * len(text)
+    best = [0.0] + [-math.inf] * len(text)
     for e in range(1, len(text) + 1):
-        for s in range(max(0, e - 12), e):
+        for s in range(e):
             k = model.pieces.get(text[s:e])
             if k is None and s == e - 1:
                 k = len(model.pieces)
             if k is not None:
-                best[e] += best[s] * math.exp(model.log_p[k, column])
-    return math.log(best[-1])
+                best[e] = np.logaddexp(best[e], best[s] + model.log_p[k, column])
+    return best[-1]
 
 
 def test_segmentations_are_summed(spark):
     model = language_id.fit(spark, spark.read.parquet(f"{SF}/documents.parquet"), per_language=20)
-    words = ["the", "haus", "ç", "zzzzqqq", "a" * 40, "漢字"]
+    # Runs that the vocabulary lacks, and any script, however long: no sum underflows, so languages stay apart.
+    unknown = "".join(random.Random(3).choice("漢字仮名交じり文") for _ in range(250))
+    words = ["the", "haus", "ç", "zzzzqqq", "a" * 40, "漢字", "q" * 48, "ж" * 200, "xq" * 300, unknown, ""]
     scores = language_id.word_scores(words, model)
+    assert all(len(set(scores[i].tolist())) == len(model.languages) for i in range(len(words)))
     for i, w in enumerate(words):
         for c in range(len(model.languages)):
             assert scores[i, c] == pytest.approx(plain_likelihood(w, model, c), rel=1e-9)
