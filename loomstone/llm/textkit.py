@@ -105,14 +105,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19)
     tidy()
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, counts): the words' byte spans, and how many words each text has."""
+def unspaced(data: np.ndarray) -> np.ndarray | None:
+    """Places beside a character of a script that is written without spaces: kana, ideographs, Thai, Lao, Burmese, Khmer."""
+    if not len(data) or data.max() < 0xE0:
+        return None
+    after = np.append(data[1:], 0)
+    three = (data >= 0xE4) & (data <= 0xE9) | (data == 0xE3) & (after >= 0x81) | (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB) | (data == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after == 0x9E) | (after == 0x9F))
+    cuts = np.zeros(len(data) + 5, dtype=bool)
+    for lead, size in ((three, 3), ((data == 0xF0) & (after >= 0xA0), 4)):
+        at = np.flatnonzero(lead)
+        cuts[at] = cuts[at + size] = True
+    return cuts[: len(data) + 1]
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, counts): the words' byte spans, and how many words each text has; no word crosses a place of `cuts`."""
     inside = table[data]
     begins, stops = offsets[:-1], offsets[1:]
     full = stops > begins
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[begins[full]] = True
     edge[len(data)] = True
+    if cuts is not None:
+        edge |= cuts
     first = inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last = inside.copy()

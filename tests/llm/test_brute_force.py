@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -172,9 +173,10 @@ def test_sharding_of_table(spark, texts):
 # --- decontamination
 
 
-@pytest.mark.parametrize("n, edits", [(5, 1), (13, 2), (25, 5), (40, 8), (59, 11), (120, 24)])
+@pytest.mark.parametrize("n, edits", [(5, 1), (13, 2), (25, 5), (40, 8), (59, 11), (120, 24), (300, 60)])
 def test_bucket_recall(n, edits):
-    assert decontamination.measured_recall(n, edits) >= 0.95
+    recall, unrelated = decontamination.measured_rates(n, edits)
+    assert recall >= 0.95 and unrelated <= 0.01
 
 
 def plain_infix(item, text):
@@ -192,14 +194,58 @@ def test_infix_distance():
     for _ in range(200):
         item = rng.integers(1, 5, rng.integers(1, 8)).astype(np.uint64)
         rows = rng.integers(1, 5, (3, rng.integers(1, 14))).astype(np.uint64)
-        got, _ = decontamination.infix_distance(item, rows)
+        got, _ = decontamination.infix_distance(np.tile(item, (3, 1)), rows)
         assert got.tolist() == [plain_infix(item.tolist(), r.tolist()) for r in rows]
 
 
+def leaks(benchmark, text, words=10**6):
+    """(item, first word, words, edits) of one text, by blocks of so many words."""
+    hashed, counts, _, _ = decontamination.tokens(pa.array([text], pa.string()))
+    items = [(i, decontamination.tokens(pa.array([t], pa.string()))[0]) for i, t in benchmark]
+    out, block = [], []
+    for k, (i, w) in enumerate(items):
+        block.append((i, w))
+        if sum(len(x) for _, x in block) >= words or k == len(items) - 1:
+            ready = decontamination.prepare([i for i, _ in block], [w for _, w in block])
+            out += [(ready.ids[i], *rest) for _, i, *rest in decontamination.find(hashed, counts, ready)]
+            block = []
+    return sorted(out)
+
+
+def test_short_items_stand_as_they_are():
+    benchmark = [(1, "fox"), (2, "brown fox"), (3, "brown cat"), (4, "the quick brown fox"), (5, "日本語"), (6, "12.")]
+    got = leaks(benchmark, "See the quick, BROWN fox; fox 今日本語を. 123")
+    assert got == [(1, 4, 1, 0), (2, 3, 2, 0), (4, 1, 4, 0), (5, 7, 3, 0)]
+
+
+def test_scripts_without_spaces_are_words_of_a_character():
+    said = "吾輩は猫である名前はまだ無いどこで生れたか見当がつかぬ"
+    assert leaks([(1, said)], "前文" + said[:10] + "の" + said[11:] + "後文") == [(1, 2, len(said), 1)]
+
+
+def test_a_phrase_that_all_items_share():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [(i, f"what is {word()} {word()} {word()}") for i in range(2000)]
+    text = " ".join(f"what is {word()}" for _ in range(700)) + " " + items[7][1] + " and " + items[9][1].replace("what", "how")
+    began = time.perf_counter()
+    got = leaks(items, text)
+    assert [i for i, *_ in got] == [7, 9] and time.perf_counter() - began < 20
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    twice = bench.unionByName(bench)
+    want = sorted(map(tuple, decontamination.leaked(spark, docs, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 2500)
+    assert sorted(map(tuple, decontamination.leaked(spark, docs, twice).collect())) == want and want
+
+
 def test_leaks_against_all_pairs(spark):
     rng = random.Random(11)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
-    items = {i: [rng.choice(vocabulary) for _ in range(rng.randrange(8, 45))] for i in range(25)}
+    items = {i: [rng.choice(vocabulary) for _ in range(rng.randrange(3, 45))] for i in range(25)}
     texts = {}
     for d in range(120):
         words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 120))]
@@ -227,7 +273,7 @@ def test_leaks_against_all_pairs(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontamination.leaked(spark, docs, bench).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) and len(want) > 60
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and len(want) > 60
     for key, r in got.items():
         words = re.findall(r"[a-z0-9]+", texts[key[0]].lower())[r.first_word : r.first_word + r.n_words]
         assert r.edits >= want[key] and plain_infix(items[key[1]], words) <= r.edits

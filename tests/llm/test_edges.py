@@ -75,8 +75,8 @@ def test_sharding(spark, docs, none):
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, SAY), (2, None), (3, ""), (4, "the lazy"), (1, SAY), (None, SAY.upper())], "item_id long, text string")
     got = decontamination.leaked(spark, docs, items).collect()
-    assert sorted((r.doc_id, r.item_id or 0) for r in got) == [(1, 0), (1, 0), (1, 0), (1, 1), (1, 1), (1, 1), (2, 0), (2, 1)]
-    assert all(r.edits == 0 and r.first_word == 0 for r in got)
+    assert sorted((r.doc_id, r.item_id or 0) for r in got) == [(1, 0), (1, 0), (1, 0), (1, 1), (1, 1), (1, 1), (1, 4), (1, 4), (1, 4), (2, 0), (2, 1), (2, 4)]
+    assert all(r.edits == 0 and r.first_word == (6 if r.item_id == 4 else 0) for r in got)
     assert decontamination.leaked(spark, none, items).count() == 0
     assert decontamination.leaked(spark, docs, items.limit(0)).count() == 0
     kept = decontamination.clean_documents(spark, docs, items)
