@@ -500,11 +500,43 @@ def test_chunks_give_the_tokenizers_ids(parts):
         at += n
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.integers(0, 30_000))
-def test_cut(n):
-    pieces = packing.cut(n)
-    assert sum(pieces) == n and all(p & (p - 1) == 0 and p <= 4096 for p in pieces) and pieces == sorted(pieces, reverse=True)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 300) | st.sampled_from([31, 32, 33, 63, 64, 65, 127, 128]), max_size=120), st.sampled_from([64, 100]))
+def test_bins_hold_every_token_once(sizes, capacity):
+    packer = packing.Packer(capacity)
+    for i, n in enumerate(sizes):
+        packer.put(packing.Text(i, n, 0, np.arange(n, dtype="<u4").tobytes()))
+    packer.close()
+    covered, rows = defaultdict(list), defaultdict(list)
+    for p in packer.pieces:
+        covered[p.text.doc].append((p.start, p.length))
+        rows[p.sequence].append((p.offset, p.length))
+        assert p.text.crc(p.start, p.length) == zlib.crc32(np.arange(p.start, p.start + p.length, dtype="<u4").tobytes())
+    for i, n in enumerate(sizes):
+        assert [s for s, _ in sorted(covered[i])] == [0, *np.cumsum([m for _, m in sorted(covered[i])])[:-1]] and sum(m for _, m in covered[i]) == n
+    for row in rows.values():
+        size = sum(m for _, m in row)
+        assert [o for o, _ in sorted(row)] == [0, *np.cumsum([m for _, m in sorted(row)])[:-1]]
+        assert size == capacity or size < capacity and size & (size - 1) == 0
+    assert not packer.rooms and not packer.held and not packer.room
+
+
+def test_texts_that_fit_stay_whole():
+    """Classes of 1 / k, k texts to a bin; what is cut is about one text a bin."""
+    rng = random.Random(5)
+    packer, sizes = packing.Packer(), [min(20_000, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(20_000)]
+    for i, n in enumerate(sizes):
+        packer.put(packing.Text(i, n, 0, b""))
+        assert len(packer.held) <= 200 and len(packer.open) <= 2 * 64
+    packer.close()
+    sequences = {p.sequence for p in packer.pieces}
+    assert len(packer.pieces) <= len(sizes) + 1.3 * len(sequences)
+    pieces = Counter(p.text.doc for p in packer.pieces)
+    assert sum(n == 1 for n in pieces.values()) >= 0.9 * sum(n <= 4096 for n in sizes)
+    bins = packing.Packer(60)
+    for i in range(9):
+        bins.put(packing.Text(i, 18, 0, b""))
+    assert [(p.sequence, p.offset) for p in sorted((p for ps in bins.held.values() for p in ps), key=lambda p: p.text.doc)] == [(i // 3, i % 3 * 18) for i in range(9)]
 
 
 def check_packing(rows, texts):
@@ -530,7 +562,10 @@ def check_packing(rows, texts):
 
 
 def test_packing_of_table(spark, texts):
-    check_packing(queries.op10_packing(spark, SF).collect(), texts)
+    rows = queries.op10_packing(spark, SF).collect()
+    check_packing(rows, texts)
+    full = sum(r.doc_tokens // 4096 for r in rows if r.start == 0)
+    assert len(rows) <= len(texts) + full + 1.3 * len({r.sequence_id for r in rows})
 
 
 def test_pipeline_takes_effect(spark, texts):
