@@ -39,10 +39,10 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeat; those of which nothing stays go."""
+    """Documents without what repeats, but for one place of it; those of which nothing stays go, since others hold all of them."""
     shared.release(spark, _SCOPE)
     with shared.scope(_SCOPE):
-        cut = suffix_dedup.remove_repeats(spark, shared.only(docs, *COLUMNS), as_text=True)
+        cut = suffix_dedup.remove_repeats(spark, shared.only(docs, *COLUMNS), as_text=True, keep_first=True)
         kept = cut.filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
         size = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
         return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", size.alias("n_chars"))

@@ -14,6 +14,9 @@ row, with a hash of the bytes they span.
    in all SPAN bytes are repeated.
 3. A text's repeated windows, as intervals, are merged and cut out.
 
+With `keep_first`, runs are sorted by text and place too, and the first window of each run isn't
+marked. Whatever is cut then has an equal place before it in that order, and so a place that stays.
+
 A splitter never parts equal leading bytes, so no run of equal suffixes crosses a boundary and the
 last suffix of a bucket differs from the first of the next. What is common to many texts is folded
 before it is sent: a mapper settles spans and windows that it has seen itself and sends one of each,
@@ -192,26 +195,28 @@ def _settled(dk: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int) -> t
     return _spread_bucket(dk, parts), 0, 0, 0, dk, low, high - low
 
 
-def _map_anchors(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _map_anchors(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, parts: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def fold() -> Iterator[pa.RecordBatch]:
         key, span, dk, low, n = (np.concatenate(c) for c in zip(*held))
-        order = multikey_order([key, span])
+        order = multikey_order([key, span, dk, low] if keep_first else [key, span])
         key, span, dk, low, n = key[order], span[order], dk[order], low[order], n[order]
         new_key, new_span = _runs(key), _runs(key, span)
         starts = np.flatnonzero(new_span)
         count = np.diff(np.r_[starts, len(key)])
         many = np.repeat(count > 1, count)
+        if keep_first:
+            many[starts] = False
         spans = np.bincount(np.cumsum(new_key)[starts] - 1)  # distinct spans of each key
         mixed = (spans > 1)[np.cumsum(new_key)[starts] - 1]
         out = []
         if many.any():
             out.append(_settled(dk[many], low[many].astype(np.int64), (low + n)[many].astype(np.int64) + SPAN - 1, parts))
         # n below 0 marks a span that is settled already; one row stands for all of it.
-        sent = np.where(count > 1, -n[starts], n[starts])
+        sent = np.where((count > 1) & (not keep_first), -n[starts], n[starts])
         one = ~mixed
         out.append((_bucket(key[starts][one], splitters), 1, key[starts][one], span[starts][one], dk[starts][one], low[starts][one], sent[one]))
         if mixed.any():
@@ -245,7 +250,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
     return {name: table.column(name).to_numpy() for name in _ROW.names}
 
 
-def _compare_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_anchors(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.RecordBatch]:
     """Settled intervals as kind 0; spans to cut into windows as kind 1."""
     rows = _columns(batches)
     if rows is None:
@@ -258,9 +263,9 @@ def _compare_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     alone = rows["kind"][at] == 2
     for part, known in ((at[~alone], False), (at[alone], True)):
         key, span = rows["a"][part].view(np.uint64), rows["b"][part].view(np.uint64)
-        order = multikey_order([key, span])
+        order = multikey_order([key, span, rows["kind"][part] == 3, rows["dk"][part], rows["low"][part]] if keep_first else [key, span])
         part, key, span = part[order], key[order], span[order]
-        kind, n = rows["kind"][part], rows["n"][part]
+        kind, n, dk, low = (rows[c][part] for c in ("kind", "n", "dk", "low"))
         starts = np.flatnonzero(_runs(key, span))
         if not len(starts):
             continue
@@ -268,7 +273,9 @@ def _compare_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         total = np.add.reduceat(np.where(n < 0, 2, real), starts)
         length = np.diff(np.r_[starts, len(part)])
         repeated = np.repeat(total > 1, length) & (n > 0) & (kind != 3)
-        out.append((0, 0, 0, 0, rows["dk"][part][repeated], rows["low"][part][repeated].astype(np.int64), n[repeated] + SPAN - 1))
+        if keep_first:
+            repeated &= (dk != np.repeat(dk[starts], length)) | (low != np.repeat(low[starts], length))
+        out.append((0, 0, 0, 0, dk[repeated], low[repeated].astype(np.int64), n[repeated] + SPAN - 1))
         if known:
             mixed = np.ones(len(starts), dtype=bool)
         else:
@@ -279,12 +286,12 @@ def _compare_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         place = np.where(kind != 3, np.arange(len(part)), len(part))
         first = np.minimum.reduceat(place, starts)[mixed]
         first = first[first < len(part)]
-        out.append((0, 1, 0, 0, rows["dk"][part][first], rows["low"][part][first].astype(np.int64), np.abs(n[first])))
+        out.append((0, 1, 0, 0, dk[first], low[first].astype(np.int64), np.abs(n[first])))
     if (batch := _rows(o for o in out if len(o[4]))) is not None:
         yield batch
 
 
-def _map_windows(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _map_windows(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, parts: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -298,10 +305,12 @@ def _map_windows(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, parts
         starts = np.flatnonzero(_runs(lead, full))
         count = np.diff(np.r_[starts, len(lead)])
         many = np.repeat(count > 1, count)
+        if keep_first:
+            many[starts] = False
         out = []
         if many.any():
             out.append(_settled(dk[many], low[many], low[many] + SPAN, parts))
-        out.append((_bucket(lead[starts], splitters), 1, lead[starts], full[starts], dk[starts], low[starts], np.where(count > 1, -1, 1)))
+        out.append((_bucket(lead[starts], splitters), 1, lead[starts], full[starts], dk[starts], low[starts], np.where((count > 1) & (not keep_first), -1, 1)))
         if (batch := _rows(out)) is not None:
             yield batch
 
@@ -332,14 +341,14 @@ def _map_windows(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, parts
         yield from fold()
 
 
-def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_windows(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.RecordBatch]:
     rows = _columns(batches)
     if rows is None:
         return
     done = rows["kind"] == 0
     at = np.flatnonzero(~done)
     lead, full = rows["a"][at].view(np.uint64), rows["b"][at].view(np.uint64)
-    order = multikey_order([lead, full])
+    order = multikey_order([lead, full, rows["dk"][at], rows["low"][at]] if keep_first else [lead, full])
     at, lead, full = at[order], lead[order], full[order]
     out = [(0, 0, 0, 0, rows["dk"][done], rows["low"][done].astype(np.int64), rows["n"][done])]
     if len(at):
@@ -350,7 +359,7 @@ def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         group = np.repeat(np.arange(len(starts)), length)
         other = (dk != dk[starts][group]) | (low != low[starts][group])
         repeated = np.bincount(group, other | (n < 0), minlength=len(starts)) > 0
-        hit = repeated[group] & (n > 0)
+        hit = other if keep_first else repeated[group] & (n > 0)
         low, high, dk = merged(low[hit], low[hit] + SPAN, dk[hit])
         out.append((0, 0, 0, 0, dk, low, high - low))
     if (batch := _rows(o for o in out if len(o[4]))) is not None:
@@ -387,9 +396,11 @@ def _sized_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str
     return left.join(right, key, how)
 
 
-def marks(spark: SparkSession, texts: DataFrame) -> DataFrame:
+def marks(spark: SparkSession, texts: DataFrame, keep_first: bool = False) -> DataFrame:
     """(dk, spans, whole): of each text that repeats something, the bytes to remove; whole marks a text that stands twice.
 
+    With `keep_first`, one place of each repeated string isn't marked, and no text is marked as a whole.
+
     `texts` has dk, a 64-bit hash of the text, and text, not null.
     """
     shared.ship(spark)
@@ -414,28 +425,32 @@ def marks(spark: SparkSession, texts: DataFrame) -> DataFrame:
         splitters.append(np.unique(values[(np.arange(1, parts) * len(values)) // parts]) if len(values) else np.empty(0, np.uint64))
     by_key, by_lead = splitters
 
-    spans = long.select("dk", "text").mapInArrow(lambda it: _map_anchors(it, by_key, parts), _ROW_SQL).repartitionById(parts, F.col("bucket")).mapInArrow(_compare_anchors, _ROW_SQL)
+    spans = long.select("dk", "text").mapInArrow(lambda it: _map_anchors(it, by_key, parts, keep_first), _ROW_SQL).repartitionById(parts, F.col("bucket")).mapInArrow(lambda it: _compare_anchors(it, keep_first), _ROW_SQL)
     spans = shared.written(spark, spans.select("kind", "dk", "low", "n"), "spans")
     gather = lambda df, join: df.select("dk", "low", "n").repartition(parts, "dk").mapInArrow(lambda it: _gather(it, join), _MARK_SQL)
     open_spans = shared.written(spark, gather(spans.filter("kind = 1"), False), "open")
     with_open = _sized_join(spark, long.select("dk", "text"), open_spans, "dk", "inner")
-    windows = with_open.mapInArrow(lambda it: _map_windows(it, by_lead, parts), _ROW_SQL).repartitionById(parts, F.col("bucket")).mapInArrow(_compare_windows, _ROW_SQL)
+    windows = with_open.mapInArrow(lambda it: _map_windows(it, by_lead, parts, keep_first), _ROW_SQL).repartitionById(parts, F.col("bucket")).mapInArrow(lambda it: _compare_windows(it, keep_first), _ROW_SQL)
     covered = gather(spans.filter("kind = 0").select("dk", "low", "n").unionByName(windows.select("dk", "low", "n")), True)
+    if keep_first:
+        return shared.written(spark, covered.withColumn("whole", F.lit(False)), "marks")
     twice = long.groupBy("dk").agg(F.count("*").alias("copies")).filter("copies > 1").select("dk", F.lit(True).alias("whole"))
     return shared.written(spark, covered.join(twice, "dk", "full_outer").select("dk", "spans", F.coalesce("whole", F.lit(False)).alias("whole")), "marks")
 
 
-def remove_repeats(spark: SparkSession, documents: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, documents: DataFrame, text: str = "text", as_text: bool = False, keep_first: bool = False) -> DataFrame:
     """`documents` with n_bytes, n_removed, n_spans, kept (the bytes that stay) in place of the text.
 
     With `as_text`, kept is a string, without the pieces of characters that a cut went through.
+    With `keep_first`, one place of each repeated string stays, that of the text of least hash, and equal
+    texts count as one text: they stay, or are cut, alike.
 
     A null text counts as empty; equal texts of SPAN bytes or more are removed as wholes, shorter texts
     stay as they are. Rows aren't dropped, so repeated rows and null keys stay rows of their own.
     """
     others = [c for c in documents.columns if c != text]
     named = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("dk", F.xxhash64("text"))
-    found = marks(spark, named.select("dk", "text"))
+    found = marks(spark, named.select("dk", "text"), keep_first)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, "text"):
