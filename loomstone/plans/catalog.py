@@ -1,130 +1,87 @@
-"""What the mart holds: its schema, and the semantic catalog."""
+"""What the mart holds: its schema, and the semantic catalog, both derived from the tables and views themselves."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from loomstone import schema
 from loomstone.operators.ingest import TABLES
+from loomstone.plans import views
 
 CATALOG_VERSION = "loomstone.semantic-catalog.v1"
 INTERNAL = ["agentlog_schema_meta"]
-# The catalog's relations and concepts.
-RELATIONS = [
-    ("v_tool_calls", "view", "each tool call with its result, how long it took and how the two fit"),
-    ("v_sessions", "view", "what happened in each session, in counts and times"),
-    ("v_adapters", "view", "volume and trouble of each adapter"),
-    ("v_quality", "view", "how far each adapter's records can be trusted"),
-    ("ingest_runs", "table", "one row for each refresh: status and counts"),
-    ("ingest_watermarks", "table", "how far each source has been read, and whether it is still seen"),
-]
-CONCEPTS = {
-    "tool_calls": {
-        "description": "Calls and results side by side, for latency and for what went missing",
-        "grain": "run_id + tool_call_id pairing outcome",
-        "key_fields": ["run_id", "tool_call_id", "call_event_id", "result_event_id"],
-        "suggested_dimensions": ["adapter_name", "tool_name", "pairing_status", "session_id", "conversation_id"],
-        "suggested_metrics": ["duration_ms", "count(*)", "count_if(pairing_status = 'missing_result')"],
-        "default_ordering": ["call_timestamp_unix_ms DESC", "tool_call_id ASC"],
-        "joins": [("sessions", ["run_id", "session_id"], "See a call in the light of its session")],
-        "fields": {
-            "run_id": "Run that the event belongs to",
-            "session_id": "Session of the call",
-            "conversation_id": "Conversation of the call",
-            "tool_name": "Tool, from the call or else its result",
-            "pairing_status": "paired | missing_result | invalid_order | orphan_result",
-            "duration_ms": "Milliseconds from call to result",
-            "duration_source": "Where the duration comes from",
-            "duration_quality": "How sure the duration is",
-        },
-    },
-    "sessions": {
-        "description": "Sessions by what they hold and how long they last",
-        "grain": "run_id + session_id",
-        "key_fields": ["run_id", "session_id"],
-        "suggested_dimensions": ["session_id", "run_id"],
-        "suggested_metrics": ["event_count", "duration_ms", "tool_call_count", "distinct_tool_count", "error_count"],
-        "default_ordering": ["duration_ms DESC", "event_count DESC", "session_id ASC"],
-        "joins": [("tool_calls", ["run_id", "session_id"], "Find the calls behind a session that stands out")],
-        "fields": {
-            "event_count": "Events of all kinds",
-            "duration_ms": "Milliseconds from the first event to the last",
-            "tool_call_count": "Calls of tools",
-            "tool_result_count": "Results of tools",
-            "prompt_count": "Prompts",
-            "response_count": "Responses",
-            "error_count": "Errors",
-        },
-    },
-    "adapters": {
-        "description": "Adapters by how much they log and how often it goes wrong",
-        "grain": "adapter_name",
-        "key_fields": ["adapter_name"],
-        "suggested_dimensions": ["adapter_name"],
-        "suggested_metrics": ["event_count", "session_count", "tool_call_count", "warning_record_count", "error_record_count", "pii_redacted_count"],
-        "default_ordering": ["event_count DESC", "adapter_name ASC"],
-        "joins": [("quality", ["adapter_name"], "Split an adapter's counts by the quality of its times")],
-        "fields": {
-            "event_count": "Events of all kinds",
-            "run_count": "Runs with events of the adapter",
-            "session_count": "Sessions with events of the adapter",
-            "tool_call_count": "Calls of tools",
-            "warning_record_count": "Events with warnings",
-            "error_record_count": "Events with errors",
-            "pii_redacted_count": "Events from which personal data was taken out",
-        },
-    },
-    "quality": {
-        "description": "Events of each adapter by the quality of their times",
-        "grain": "adapter_name + timestamp_quality",
-        "key_fields": ["adapter_name", "timestamp_quality"],
-        "suggested_dimensions": ["adapter_name", "timestamp_quality"],
-        "suggested_metrics": ["event_count", "warning_record_count", "error_record_count", "flagged_record_count", "pii_redacted_count"],
-        "default_ordering": ["adapter_name ASC", "timestamp_quality ASC"],
-        "joins": [("adapters", ["adapter_name"], "Weigh quality against an adapter's volume")],
-        "fields": {
-            "timestamp_quality": "exact | derived | fallback",
-            "event_count": "Events of that quality",
-            "warning_record_count": "Events with warnings",
-            "error_record_count": "Events with errors",
-            "flagged_record_count": "Events with flags",
-            "pii_redacted_count": "Events from which personal data was taken out",
-        },
-    },
+# What one row of each concept's view stands for.
+GRAINS = {
+    "tool_calls": ["run_id", "tool_call_id"],
+    "sessions": ["run_id", "session_id"],
+    "adapters": ["adapter_name"],
+    "quality": ["adapter_name", "timestamp_quality"],
 }
+LEDGERS = ["ingest_runs", "ingest_watermarks"]
 
 
-def catalog(verbose: bool = False) -> dict:
-    """Concepts and relations; field descriptions only if asked for."""
-    concepts = []
-    for name, c in CONCEPTS.items():
-        view = f"v_{name}"
-        joins = [{"concept": to, "relation": f"v_{to}", "join_type": "left", "on": " AND ".join(f"{view}.{k} = v_{to}.{k}" for k in keys), "purpose": why} for to, keys, why in c["joins"]]
-        concept = {"concept_id": name, "primary_relation": view} | {k: v for k, v in c.items() if k not in ("joins", "fields")} | {"joins": joins}
-        if verbose:
-            concept["field_catalog"] = [{"name": k, "description": d} for k, d in c["fields"].items()]
-        concepts.append(concept)
-    return {"schema_version": CATALOG_VERSION, "concepts": concepts, "relations": [dict(zip(("name", "kind", "description"), r)) for r in RELATIONS]}
+def _summary(view) -> str:
+    return view.__doc__.strip().split("\n")[0]
 
 
-def describe(views: dict[str, DataFrame], include_internal: bool = False) -> dict:
-    """Tables, then views, by name, with their columns: place, name, type, whether null may stand, default, place in the key."""
+def _numeric(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.NumericType) and not field.name.endswith("_unix_ms")
+
+
+def concept(name: str, shapes: dict[str, T.StructType], verbose: bool) -> dict:
+    """One view's entry: strings are its dimensions, numbers its metrics, and a view whose whole key it holds can be joined."""
+    view, key, shape = f"v_{name}", GRAINS[name], shapes[name]
+    columns = shape.fieldNames()
+    metrics = [f.name for f in shape if _numeric(f)]
+    reachable = {to: k for to, k in GRAINS.items() if to != name and set(k) <= set(columns)}
+    entry = {
+        "concept_id": name,
+        "primary_relation": view,
+        "description": _summary(views.VIEWS[view]),
+        "grain": " + ".join(key),
+        "key_fields": [*key, *(c for c in columns if c.endswith("event_id"))],
+        "suggested_dimensions": [f.name for f in shape if isinstance(f.dataType, T.StringType)],
+        "suggested_metrics": [*metrics, "count(*)"],
+        "default_ordering": [f"{c} DESC" for c in metrics[:1]] + [f"{c} ASC" for c in key],
+        "joins": [{"concept": to, "relation": f"v_{to}", "join_type": "left", "on": " AND ".join(f"{view}.{c} = v_{to}.{c}" for c in k), "purpose": f"{to} by {', '.join(k)}"} for to, k in reachable.items()],
+    }
+    if verbose:
+        entry["field_catalog"] = [{"name": f.name, "description": f"{f.name.replace('_', ' ')} ({f.dataType.simpleString()})"} for f in shape]
+    return entry
+
+
+def relations() -> list[dict]:
+    """The views and the ledgers' tables; what each holds, by its docstring or its key."""
+    found = [{"name": name, "kind": "view", "description": _summary(view)} for name, view in views.VIEWS.items()]
+    return found + [{"name": name, "kind": "table", "description": f"{len(TABLES[name])} columns by {', '.join(schema.PRIMARY_KEYS[name])}"} for name in LEDGERS]
+
 
-    def columns(name: str, kind) -> list[dict]:
-        key = schema.PRIMARY_KEYS.get(name, [])
-        required = set(schema.REQUIRED_COLUMNS) if name == "agentlog_events" else set()
-        return [
-            {
-                "ordinal": i,
-                "name": f.name,
-                "declared_type": f.dataType.simpleString(),
-                "nullable": f.nullable and f.name not in required,
-                "default": schema.DEFAULTS.get((name, f.name)),
-                "primary_key_position": key.index(f.name) + 1 if f.name in key else 0,
-            }
-            for i, f in enumerate(kind)
-        ]
-
-    tables = [{"name": n, "kind": "table", "columns": columns(n, k)} for n, k in sorted(TABLES.items()) if include_internal or n not in INTERNAL]
-    found = [{"name": n, "kind": "view", "columns": columns(n, df.schema)} for n, df in sorted(views.items()) if n.startswith("v_")]
-    return {"tables": tables, "views": found}
+def catalog(spark: SparkSession, verbose: bool = False) -> dict:
+    """Concepts and relations; fields only if asked for. Needs no mart: the views' shapes are those over no events."""
+    nothing = spark.createDataFrame([], schema.EVENTS)
+    shapes = {name: views.VIEWS[f"v_{name}"](nothing).schema for name in GRAINS}
+    return {"schema_version": CATALOG_VERSION, "concepts": [concept(name, shapes, verbose) for name in GRAINS], "relations": relations()}
+
+
+def _columns(name: str, kind: T.StructType) -> list[dict]:
+    key = schema.PRIMARY_KEYS.get(name, [])
+    required = set(schema.REQUIRED_COLUMNS) if name == "agentlog_events" else set()
+    return [
+        {
+            "ordinal": i,
+            "name": f.name,
+            "declared_type": f.dataType.simpleString(),
+            "nullable": f.nullable and f.name not in required,
+            "default": schema.DEFAULTS.get((name, f.name)),
+            "primary_key_position": key.index(f.name) + 1 if f.name in key else 0,
+        }
+        for i, f in enumerate(kind)
+    ]
+
+
+def describe(found: dict[str, DataFrame], include_internal: bool = False) -> dict:
+    """Tables, then views, by name, with their columns: place, name, type, whether null may stand, default, place in the key."""
+    tables = [{"name": n, "kind": "table", "columns": _columns(n, k)} for n, k in sorted(TABLES.items()) if include_internal or n not in INTERNAL]
+    shown = [{"name": n, "kind": "view", "columns": _columns(n, df.schema)} for n, df in sorted(found.items()) if n.startswith("v_")]
+    return {"tables": tables, "views": shown}

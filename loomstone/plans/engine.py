@@ -94,7 +94,7 @@ class QueryPlane:
         return Envelope("query.schema", data=found, meta={"implemented": True, "include_internal": include_internal, "mart_path": self.mart.root, "table_count": n, "view_count": m, "object_count": n + m})
 
     def catalog(self, verbose: bool = False) -> Envelope:
-        found = catalog.catalog(verbose)
+        found = catalog.catalog(self.spark, verbose)
         return Envelope("query.catalog", data=found, meta={"implemented": True, "verbose": verbose, "concept_count": len(found["concepts"]), "relation_count": len(found["relations"])})
 
 
