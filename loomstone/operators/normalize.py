@@ -44,7 +44,9 @@ def dedupe(events: DataFrame, input_order: str = "input_seq") -> DataFrame:
     The winner has the best timestamp quality, then the most metadata keys, then the smallest id, and
     of equals comes first in the input. Members are the distinct event ids. Provenance lists each
     distinct (kind, path, locator, raw hash) once, in input order. `events` carries its place in the
-    input as a long column; all of it is one grouped aggregation with partial sums before the shuffle.
+    input as a column that can be sorted; all of it is one grouped aggregation with partial sums before the
+    shuffle. Members and provenance of one key are one row, as the report wants them, so a key's distinct
+    sources must fit in a task.
     """
     marked = events.withColumn("dedupe_strategy", strategy()).withColumn("dedupe_key", dedupe_key())
     rank = F.struct(quality_rank().alias("q"), (-_metadata_size()).alias("m"), F.col("event_id").alias("e"), F.col(input_order).alias("i"))
@@ -70,7 +72,7 @@ def annotate(deduped: DataFrame) -> DataFrame:
 def total_order(events: DataFrame) -> DataFrame:
     """`events` with sequence_global, 0 .. n-1 in the total order, by one window.
 
-    A window without partitions is one task. Use `total_order_at_scale` beyond some millions of rows.
+    A window without partitions is one task: this is the plain form that tests hold `total_order_at_scale` against.
     """
     place = Window.orderBy(*_sort_columns())
     return events.withColumn("quality_rank", quality_rank()).withColumn("sequence_global", (F.row_number().over(place) - 1).cast("long")).drop("quality_rank")
@@ -99,7 +101,7 @@ def total_order_at_scale(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 def dedupe_and_order(events: DataFrame, input_order: str = "input_seq") -> DataFrame:
     """Canonical events: folded, annotated, ordered; columns as the mart has them."""
-    return total_order(annotate(dedupe(events, input_order))).select(*schema.EVENT_COLUMNS)
+    return total_order_at_scale(events.sparkSession, annotate(dedupe(events, input_order))).select(*schema.EVENT_COLUMNS)
 
 
 def histogram(events: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:

@@ -64,6 +64,15 @@ def shape_of(adapter: str, role: str, path: str) -> str | None:
     return None
 
 
+def placed(events: DataFrame) -> DataFrame:
+    """`events` with input_seq, its place in the input: adapter, file by path, then place in the file.
+
+    Scans take the largest file first, so a number of rows alone would follow sizes; within a file, which
+    one task reads from its start, it follows the lines.
+    """
+    return events.withColumn("input_seq", F.struct("adapter_name", "source_path", F.monotonically_increasing_id().alias("place")))
+
+
 def normalize_sources(spark: SparkSession, home: str, root: str | None = None, history: dict[str, int] | None = None, adapters: list[str] | None = None, fail_fast: bool = False) -> tuple[DataFrame, DataFrame, dict[str, dict], int]:
     """(events, warnings, health by adapter, records before folding).
 
@@ -107,8 +116,7 @@ def normalize_sources(spark: SparkSession, home: str, root: str | None = None, h
         empty = spark.createDataFrame([], schema.EVENTS)
         return empty, spark.createDataFrame([], "source_path string, position long, message string"), {a: h.report() for a, h in health.items()}, 0
     everything = reduce(Parsed.__add__, parsed)
-    # The input's order: adapter, file, then place in the file.
-    events = everything.events.withColumn("input_seq", F.monotonically_increasing_id()).cache()
+    events = placed(everything.events).cache()
     for row in events.groupBy("adapter_name").count().collect():
         health[row["adapter_name"]].events_emitted = row["count"]
     by_path = {p: a for (a, _), paths in files.items() for p in paths}

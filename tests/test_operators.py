@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone import schema
+from loomstone import schema, scratch
 from loomstone.operators import artifacts, ingest, normalize, parity, snapshot, validate
 from loomstone.plans import views
+from loomstone.sources import orchestrate, records
 
 BASE = dict.fromkeys(schema.EVENT_COLUMNS) | {
     "schema_version": "agentlog.v1",
@@ -262,3 +263,29 @@ def test_sanitized_marks(spark):
     big = json.dumps({"mail": "me@site.org", "text": ["x" * 200] * 40})
     got = json.loads(spark.createDataFrame([(big,)], "r string").select(snapshot.sanitized(F.col("r")).alias("y")).first()["y"])
     assert got["sanitization_reason"] == "max_record_chars_exceeded" and got["snapshot_sanitized"] and got["redaction_classes"] == ["email"] and got["pii_redacted"]
+
+
+def test_input_order_follows_paths_and_not_sizes(spark, tmp_path):
+    for name, lines in (("a", 2), ("b", 900), ("c", 40)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{name}{i}\n" for i in range(lines)))
+    read = records.lines_of(records.read_documents(spark, [str(tmp_path / f"{n}.jsonl") for n in "cab"]))
+    rows = orchestrate.placed(read.select(F.lit("codex").alias("adapter_name"), "source_path", "line")).orderBy("input_seq").collect()
+    assert [(r.source_path[-7:], r.line) for r in rows] == [(f"{n}.jsonl", i) for n, k in (("a", 2), ("b", 900), ("c", 40)) for i in range(1, k + 2)]  # what follows the last line feed is a line too
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(Session())
