@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from datetime import datetime, timezone
@@ -17,6 +18,9 @@ from loomstone.operators import validate
 #: Table names of the mart.
 TABLES: dict[str, StructType] = {"agentlog_events": schema.EVENTS, "ingest_runs": schema.INGEST_RUNS, "ingest_watermarks": schema.INGEST_WATERMARKS, "agentlog_schema_meta": schema.SCHEMA_META}
 
+#: Bad lines that a report names; all are counted.
+LISTED = 1000
+
 
 def utc_now() -> str:
     """Fixed-width RFC 3339 UTC, so that text order is time order."""
@@ -83,7 +87,13 @@ def overall_staleness(seen: int, known: int, missing: int) -> str:
 
 
 class Mart:
-    """The mart's tables as Parquet folders; a write goes beside the table and takes its place in one step."""
+    """The mart's tables as Parquet folders of numbered versions, of which the last is the table.
+
+    A write goes beside the versions and becomes the next by one rename, so a reader, and a crash at any
+    moment, finds the old table or the new one, whole. One writer at a time: a version that another
+    writer has made meanwhile ends the write. The version before the last stays for readers that began
+    on it. The store must rename folders in one step, as HDFS and local disks do.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -92,33 +102,49 @@ class Mart:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(text)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self, name: str) -> list[int]:
+        path, store = self._path(f"{self.root}/{name}")
+        if not store.exists(path):
+            return []
+        return sorted(int(f.getPath().getName()[1:]) for f in store.listStatus(path) if re.fullmatch(r"v\d+", f.getPath().getName()))
+
+    def latest(self) -> dict[str, int]:
+        """The version of each table; 0 if there is none."""
+        return {name: max(self._versions(name), default=0) for name in TABLES}
+
+    def _folder(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/v{version:012d}"
+
     def ensure(self) -> None:
         """Make missing tables, and note the schema's version once."""
         for name, kind in TABLES.items():
-            path, store = self._path(f"{self.root}/{name}")
-            if not store.exists(path):
-                self.spark.createDataFrame([], kind).write.parquet(f"{self.root}/{name}")
+            if not self._versions(name):
+                self.replace(name, self.spark.createDataFrame([], kind))
         if not self.read("agentlog_schema_meta").filter(F.col("schema_version") == schema.SCHEMA_VERSION).limit(1).collect():
             row = self.spark.createDataFrame([(schema.SCHEMA_VERSION, utc_now())], schema.SCHEMA_META)
             self.replace("agentlog_schema_meta", self.read("agentlog_schema_meta").unionByName(row))
 
     def exists(self) -> bool:
-        path, store = self._path(f"{self.root}/agentlog_events")
-        return store.exists(path)
+        return bool(self._versions("agentlog_events"))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
+        """The table as it stands now; later writes don't change what this frame reads."""
+        versions = self._versions(name)
+        if not versions:
+            raise FileNotFoundError(f"no table {name} in the mart at {self.root}")
+        return self.spark.read.schema(TABLES[name]).parquet(self._folder(name, versions[-1]))
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Write, then swap folders by renaming; readers never see half a table."""
-        fresh, gone = f"{self.root}/_new-{name}-{uuid.uuid4().hex}", f"{self.root}/_old-{name}-{uuid.uuid4().hex}"
+        """Write the next version and make it the table by one rename."""
+        before = self._versions(name)
+        fresh, into = f"{self.root}/{name}/_new-{uuid.uuid4().hex}", self._folder(name, before[-1] + 1 if before else 1)
         df.select(*TABLES[name].fieldNames()).write.parquet(fresh)
-        (new, store), (live, _), (old, _) = self._path(fresh), self._path(f"{self.root}/{name}"), self._path(gone)
-        if store.exists(live):
-            store.rename(live, old)
-        store.rename(new, live)
-        store.delete(old, True)
-        self.spark.catalog.refreshByPath(f"{self.root}/{name}")
+        (new, store), (live, _) = self._path(fresh), self._path(into)
+        if self._versions(name) != before or not store.rename(new, live):
+            store.delete(new, True)
+            raise RuntimeError(f"another writer has changed {name} meanwhile")
+        for old in before[:-1]:
+            store.delete(self._path(self._folder(name, old))[0], True)
 
     def put(self, name: str, row: dict) -> None:
         """Put one ledger row in the place of that with its key."""
@@ -127,42 +153,42 @@ class Mart:
         self.replace(name, self.read(name).filter(F.col(key) != row[key]).unionByName(one))
 
 
-def refresh(mart: Mart, lines: DataFrame, source_root: str, fail_fast: bool = False) -> dict:
+def refresh(mart: Mart, lines: DataFrame, source_root: str, fail_fast: bool = False, run_id: str | None = None, listed: int = LISTED) -> dict:
     """Load numbered JSONL lines (line, value) into the mart; gives the report.
 
     Records that don't decode are warnings, or end the refresh before it leaves a trace if `fail_fast`.
-    Rows are put over older ones by event id; old rows that the input lacks stay.
+    All of them are counted; the report lists the first `listed`. Rows are put over older ones by event
+    id; old rows that the input lacks stay. A failure after the run began, of whichever table, is noted
+    in the ledger. With the `run_id` of an earlier run, that run's ledger row is written anew.
     """
-    spark, started, clock = mart.spark, utc_now(), time.monotonic()
-    run_id = f"ingest-{time.time_ns():016x}"
+    started, clock = utc_now(), time.monotonic()
+    run_id = run_id or f"ingest-{time.time_ns():016x}"
     decoded = validate.decode(lines).cache()
     try:
-        bad = decoded.filter("problem IS NOT NULL").select("line", "problem").orderBy("line").collect()
+        n, skipped = decoded.agg(F.count_if(F.col("problem").isNull()), F.count("problem")).first()
+        bad = decoded.filter("problem IS NOT NULL").select("line", "problem").orderBy("line").limit(1 if fail_fast else listed).collect() if skipped else []
         if bad and fail_fast:
             raise ValueError(f"failed to decode event at line {bad[0]['line']}: {bad[0]['problem']}")
-        warnings = [f"line {r['line']}: {r['problem']}" for r in bad]
         events = validate.events_of(decoded)
-        n = events.count()
         mart.ensure()
-        run = {"ingest_run_id": run_id, "started_at_utc": started, "finished_at_utc": None, "status": "running", "source_root": source_root, "events_read": n, "events_written": 0, "warnings_count": len(warnings), "errors_count": 0, "error_summary_json": "{}"}
+        run = {"ingest_run_id": run_id, "started_at_utc": started, "finished_at_utc": None, "status": "running", "source_root": source_root, "events_read": n, "events_written": 0, "warnings_count": skipped, "errors_count": 0, "error_summary_json": "{}"}
         mart.put("ingest_runs", run)
+        written = 0
         try:
             mart.replace("agentlog_events", upsert(mart.read("agentlog_events"), events, "event_id", "line"))
+            written = n
+            finished = utc_now()
+            old = mart.read("ingest_watermarks")
+            known = old.count()
+            mart.replace("ingest_watermarks", watermarks(old, frontier(events, "line"), run_id, finished))
+            counts = {r["staleness_state"]: r["count"] for r in mart.read("ingest_watermarks").groupBy("staleness_state").count().collect()}
+            mart.put("ingest_runs", run | {"status": "success", "finished_at_utc": finished, "events_written": n})
         except Exception as error:
-            mart.put("ingest_runs", run | {"status": "failed", "finished_at_utc": utc_now(), "errors_count": 1, "error_summary_json": json.dumps({"message": str(error)[:2000]})})
+            mart.put("ingest_runs", run | {"status": "failed", "finished_at_utc": utc_now(), "events_written": written, "errors_count": 1, "error_summary_json": json.dumps({"message": str(error)[:2000]})})
             raise
-        finished = utc_now()
-        old = mart.read("ingest_watermarks")
-        current = frontier(events, "line")
-        known = old.count()
-        after = watermarks(old, current, run_id, finished)
-        mart.replace("ingest_watermarks", after)
-        counts = {r["staleness_state"]: r["count"] for r in mart.read("ingest_watermarks").groupBy("staleness_state").count().collect()}
-        mart.put("ingest_runs", run | {"status": "success", "finished_at_utc": finished, "events_written": n})
         state = overall_staleness(counts.get("fresh", 0), known, counts.get("stale", 0))
     finally:
         decoded.unpersist()
-    del spark
     return {
         "schema_version": "agentlog.ingest_report.v1",
         "ingest_run_id": run_id,
@@ -171,7 +197,7 @@ def refresh(mart: Mart, lines: DataFrame, source_root: str, fail_fast: bool = Fa
         "started_at_utc": started,
         "finished_at_utc": finished,
         "duration_ms": int((time.monotonic() - clock) * 1000),
-        "counts": {"read": n, "inserted": n, "updated": 0, "skipped": len(warnings)},
-        "warnings": warnings,
+        "counts": {"read": n, "inserted": n, "updated": 0, "skipped": skipped},
+        "warnings": [f"line {r['line']}: {r['problem']}" for r in bad],
         "watermarks": {"sources_upserted": counts.get("fresh", 0), "staleness_state": state},
     }

@@ -36,17 +36,20 @@ def capped(df: DataFrame, row_cap: int) -> tuple[list[dict], bool]:
 
 
 class QueryPlane:
-    """The query commands over one mart; its views are registered once."""
+    """The query commands over one mart; its views are registered anew when a table has a new version."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.mart = spark, Mart(spark, root)
-        self._relations: dict[str, DataFrame] | None = None
+        self._relations: dict[str, DataFrame] = {}
+        self._seen: dict[str, int] | None = None
 
     def relations(self) -> dict[str, DataFrame]:
-        if self._relations is None:
-            if not self.mart.exists():
-                raise FileNotFoundError(f"no mart at {self.mart.root}")
+        """The mart's tables as they stand now, and the views over them."""
+        if not self.mart.exists():
+            raise FileNotFoundError(f"no mart at {self.mart.root}")
+        if self._seen != (now := self.mart.latest()):
             self._relations = views.register(self.spark, *(self.mart.read(n) for n in ("agentlog_events", "ingest_runs", "ingest_watermarks")))
+            self._seen = now
         return self._relations
 
     def sql(self, text: str, params: str | None = None, row_cap: int = ROW_CAP) -> Envelope:

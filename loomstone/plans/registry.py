@@ -372,15 +372,7 @@ def json_key_profile(s: SparkSession, d: str) -> DataFrame:
     return snapshot.key_profile(table(s, d, "events").select(F.lit("events").alias("source"), F.col("props").alias("value"))).select("path", "value_type", F.col("occurrences").alias("n"))
 
 
-_TOKEN = "[REDACTED]"
-_query(
-    "redact_text",
-    f"""SELECT doc_id, md5(p) AS digest FROM (SELECT doc_id, regexp_replace(e, '\\b\\+?\\d[\\d\\-\\(\\) ]{{8,}}\\d\\b', '{_TOKEN}', 'g') AS p FROM (SELECT doc_id, regexp_replace(u, '(?i)\\b[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{{2,}}\\b', '{_TOKEN}', 'g') AS e FROM (
-SELECT doc_id, regexp_replace(a, '(?i)([?&](?:access_token|token|api_key)=)[^&\\s]+', '\\1{_TOKEN}', 'g') AS u FROM (SELECT doc_id, regexp_replace(b, '(?i)\\b(password|passwd|secret|api[_-]?key|token)\\b(\\s*[:=]\\s*)[^\\s,;''"]+', '\\1\\2{_TOKEN}', 'g') AS a FROM (
-SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\bbearer\\s+[a-z0-9._=\\-]{{8,}}', 'Bearer {_TOKEN}', 'g'), '\\b(?:sk-[A-Za-z0-9]{{8,}}|ghp_[A-Za-z0-9]{{8,}}|xox[baprs]-[A-Za-z0-9\\-]{{8,}})\\b', '{_TOKEN}', 'g') AS b FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*') AND text NOT LIKE '%PRIVATE KEY%')))))""",
-)(lambda s, d: table(s, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$") & ~F.col("text").contains("PRIVATE KEY")).select("doc_id", F.md5(redact.redacted(F.col("text")).cast("binary")).alias("digest")))
-
-# SQL's regular expressions agree with ours on ASCII rows without keys only, so redact_text is held to those; this one takes every row.
+# SQL's regular expressions know only ASCII word boundaries, so this has no SQL; a test holds it against plain Python.
 _query("redact_documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.md5(redact.redacted(F.col("text")).cast("binary")).alias("digest")))
 
 # --- classifiers and discovery

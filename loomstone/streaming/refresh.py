@@ -7,6 +7,8 @@ the one stateful view, with a watermark for late events.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -21,11 +23,15 @@ def incoming_lines(spark: SparkSession, folder: str, files_per_batch: int = 100)
 
 
 def refresh_stream(mart: ingest.Mart, lines: DataFrame, source_root: str) -> DataStreamWriter:
-    """Put every batch of lines into the mart; start it with a checkpoint location and a trigger."""
+    """Put every batch of lines into the mart; start it with a checkpoint location and a trigger.
+
+    A run is named by its source and batch, so a batch that is run again has one ledger row.
+    """
+    source = hashlib.sha256(source_root.encode()).hexdigest()[:12]
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
         numbered = batch.select((F.monotonically_increasing_id() + 1).alias("line"), "value")
-        ingest.refresh(mart, numbered, source_root)
+        ingest.refresh(mart, numbered, source_root, run_id=f"stream-{source}-{number:012d}")
 
     return lines.writeStream.foreachBatch(put)
 

@@ -211,6 +211,47 @@ def test_refresh_staleness_and_upsert(spark, tmp_path):
     assert mart.read("ingest_runs").count() == 2
 
 
+def test_mart_versions(spark, tmp_path):
+    """A write is one rename: what a reader holds stays readable, and what a crash leaves is no table."""
+    mart = ingest.Mart(spark, str(tmp_path / "mart"))
+    assert not mart.exists()
+    mart.ensure()
+    before = mart.read("agentlog_schema_meta")
+    mart.replace("agentlog_schema_meta", before.unionByName(before))
+    assert before.count() == 1 and mart.read("agentlog_schema_meta").count() == 2
+    (tmp_path / "mart" / "agentlog_schema_meta" / "_new-left-by-a-crash").mkdir()
+    assert mart.read("agentlog_schema_meta").count() == 2 and mart.latest()["ingest_runs"] == 1
+
+    class Overtaken(ingest.Mart):
+        def _path(self, text):
+            if "_new-" in text:
+                (tmp_path / "mart" / "ingest_runs" / "v000000000009").mkdir(exist_ok=True)
+            return super()._path(text)
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        Overtaken(spark, mart.root).replace("ingest_runs", mart.read("ingest_runs"))
+
+
+def test_failures_of_any_table_are_in_the_ledger(spark, tmp_path):
+    class Broken(ingest.Mart):
+        def replace(self, name, df):
+            if name == broken and df.sparkSession and self.latest()[name]:
+                raise OSError(f"{name} can't be written")
+            super().replace(name, df)
+
+    for n, broken in enumerate(["agentlog_events", "ingest_watermarks"]):
+        mart = Broken(spark, str(tmp_path / f"mart{n}"))
+        with pytest.raises(OSError):
+            ingest.refresh(mart, _lines(spark, _record(event_id="a")), "/src")
+        (run,) = mart.read("ingest_runs").collect()
+        assert (run["status"], run["errors_count"], run["events_written"]) == ("failed", 1, n) and broken in run["error_summary_json"]
+
+
+def test_refresh_counts_all_and_lists_some(spark, tmp_path):
+    report = ingest.refresh(ingest.Mart(spark, str(tmp_path / "mart")), _lines(spark, "junk", _record(event_id="a"), "{", "[]"), "/src", run_id="again", listed=2)
+    assert report["counts"]["skipped"] == 3 and [w.split(":")[0] for w in report["warnings"]] == ["line 1", "line 3"] and report["ingest_run_id"] == "again"
+
+
 def test_frontier_tie_takes_later_row(spark):
     df = _seq(events(spark, {"source_record_locator": "line:9"}, {"source_record_locator": "line:1"}))
     assert ingest.frontier(df, "input_seq").first()["source_record_locator"] == "line:1"
