@@ -106,7 +106,7 @@ class Mart:
         path, store = self._path(f"{self.root}/{name}")
         if not store.exists(path):
             return []
-        return sorted(int(f.getPath().getName()[1:]) for f in store.listStatus(path) if re.fullmatch(r"v\d+", f.getPath().getName()))
+        return sorted(int(f.getPath().getName()[1:]) for f in store.listStatus(path) if re.match(r"v\d+$", f.getPath().getName()))
 
     def latest(self) -> dict[str, int]:
         """The version of each table; 0 if there is none."""

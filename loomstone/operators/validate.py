@@ -12,7 +12,8 @@ from loomstone.functions.timeparse import parse_ms
 
 #: Share of user and assistant messages that may lack text, by mode.
 NULL_RATE = {"baseline": 0.4, "strict": 0.2}
-_ISSUE = "line, kind, severity, detail"
+#: Issues that a report lists; all are counted.
+LISTED = 10_000
 
 
 def requires_content() -> Column:
@@ -168,17 +169,19 @@ def agent_summary(events: DataFrame, found: DataFrame) -> DataFrame:
     return words.join(sound, "agent", "left").join(bad, "agent", "left").select("agent", zero("records_validated"), zero("errors"), zero("warnings"))
 
 
-def report(lines: DataFrame, mode: str = "baseline") -> dict:
-    """The validation report over numbered lines (line, value)."""
+def report(lines: DataFrame, mode: str = "baseline", listed: int = LISTED) -> dict:
+    """The validation report over numbered lines (line, value).
+
+    All issues are counted; the report lists the first `listed` in their order, and `issues` gives them all as a table.
+    """
     decoded = decode(lines).cache()
     try:
         events = events_of(decoded)
         total, parsed = decoded.agg(F.count("*"), F.count_if(F.coalesce(F.col("problem_kind"), F.lit("")) != "invalid_json")).first()
-        found = issues(decoded, mode).orderBy("part", "line", "detail").drop("part")
-        listed = [r.asDict() for r in found.collect()]
+        found = issues(decoded, mode)
+        first = [r.asDict() for r in found.orderBy("part", "line", "detail").drop("part").limit(listed).collect()]
         counts = scorecard_counts(events).first().asDict()
-        errors = sum(i["severity"] == "error" for i in listed)
-        warnings = len(listed) - errors
+        errors, warnings = found.agg(F.count_if(F.col("severity") == "error"), F.count_if(F.col("severity") == "warning")).first()
         return {
             "schema_version": schema.SCHEMA_VERSION,
             "mode": mode,
@@ -190,7 +193,7 @@ def report(lines: DataFrame, mode: str = "baseline") -> dict:
             "warnings": warnings,
             "quality_scorecard": scorecard(total, parsed, **counts),
             "per_agent_summary": {r["agent"]: {k: r[k] for k in ("records_validated", "errors", "warnings")} for r in agent_summary(events, found).collect()},
-            "issues": listed,
+            "issues": first,
         }
     finally:
         decoded.unpersist()

@@ -13,14 +13,15 @@ from loomstone.plans.driver_tables import table
 from loomstone.sources import amp, claude, codex, gemini, opencode
 from loomstone.sources.records import Parsed, lines_of
 
-FILES = 16
+#: Rows of a made file, so that none grows with the table.
+FILE_ROWS = 1000
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their time as text, in numbered files."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", ms.alias("ms"))
-    return rows.withColumn("at", format_ms(F.col("ms"))).withColumn("file", F.col("user_id") % FILES)
+    return rows.withColumn("at", format_ms(F.col("ms"))).withColumn("file", F.floor(F.col("event_id") / FILE_ROWS).cast("long"))
 
 
 def _files(rows: DataFrame, line: Column, folder: str, ending: str) -> DataFrame:

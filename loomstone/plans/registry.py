@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomstone import schema
 from loomstone.functions import redact, text, timeparse
 from loomstone.operators import ingest, normalize, parity, snapshot, validate
-from loomstone.plans import adapter_queries, questions, views
+from loomstone.plans import adapter_queries, product_queries, questions, views
 from loomstone.plans.driver_tables import CALLS_CTE, EVENTS_CTE, MARKS_SQL, RUNS_SQL, canonical_events, ledger, table
 from loomstone.session import prepare
 from loomstone.sources import discovery, history
@@ -347,7 +347,6 @@ def percentile_nearest_rank(s: SparkSession, d: str) -> DataFrame:
 
 
 _query("topk", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")(lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(50))
-_query("row_cap", "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 1001")(lambda s, d: table(s, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(1001))
 
 # --- snapshot and redaction
 
@@ -393,14 +392,22 @@ def history_scores(s: SparkSession, d: str) -> DataFrame:
     return history.scores(history.commands(lines)).select("adapter", "score")
 
 
-@_query("known_paths", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {p}, '{path}', '{role}', '{form}', {str(deep).lower()})" for a, p, path, role, form, deep in discovery.REGISTRY) + ") AS t(adapter, precedence, path, role, format_hint, recursive)")
+# Written out, so that a change of the registry shows.
+@_query(
+    "known_paths",
+    """SELECT * FROM (VALUES ('codex', 10, '~/.codex/sessions', 'session_store', 'directory', true), ('codex', 20, '~/.codex/history.jsonl', 'history_stream', 'jsonl', false), ('codex', 30, '~/.codex/log', 'runtime_diagnostics', 'text_log', true),
+  ('claude', 10, '~/.claude/projects', 'session_store', 'directory', true), ('claude', 20, '~/.claude/statsig', 'runtime_diagnostics', 'text_log', true), ('claude', 30, '~/.claude.json', 'config_metadata', 'json', false),
+  ('gemini', 10, '~/.gemini/tmp', 'session_store', 'directory', true), ('gemini', 20, '~/.gemini/history', 'history_stream', 'directory', true), ('gemini', 30, '~/.gemini/debug', 'runtime_diagnostics', 'text_log', true),
+  ('amp', 10, '~/.amp/sessions', 'session_store', 'directory', true), ('amp', 20, '~/.amp/history', 'history_stream', 'directory', true), ('amp', 30, '~/.amp/logs', 'runtime_diagnostics', 'text_log', true), ('amp', 40, '~/.amp/file-changes', 'session_store', 'directory', true),
+  ('opencode', 10, '~/.opencode/project', 'session_store', 'directory', true), ('opencode', 20, '~/.opencode/sessions', 'session_store', 'directory', true), ('opencode', 30, '~/.opencode/logs', 'runtime_diagnostics', 'text_log', true)) AS t(adapter, precedence, path, role, format_hint, recursive)""",
+)
 def known_paths(s: SparkSession, d: str) -> DataFrame:
     return discovery.registry(s)
 
 
 # --- adapters
 
-for _name, (_plan, _sql) in adapter_queries.QUERIES.items():
+for _name, (_plan, _sql) in (adapter_queries.QUERIES | product_queries.QUERIES).items():
     _query(_name, _sql)(_plan)
 
 # --- engine-inherited SQL over the star schema (any query of the plane may use these)
