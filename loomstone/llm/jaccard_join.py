@@ -5,12 +5,13 @@ more: three words and 0.9 unless said otherwise. Every set is ordered
 by how many documents hold its tokens, rarest first; two linked sets share a token of their prefixes,
 which index lists collect. Sizes, and a token's positions in both sets, bound what two sets can share:
 
-* index-level skipping: a list's entries stand by size, so an entry is held against those of like size
-  only, and the rest of the list is skipped as a block; positions bound what a pair can share;
+* index-level skipping: a list's entries stand by size, position and component, and those that agree in
+  them are a block. Whether two blocks can hold a linked pair is settled once, by size and position,
+  and the rest are skipped without looking at their entries;
 * answer-level skipping: sets that are known to be connected answer for each other. Equal sets are
   one node. Close neighbours in the lists are verified first, which joins near copies in a number of
-  comparisons that grows with their number and not its square. After that only pairs of different
-  components are looked at, and these all.
+  comparisons that grows with their number and not its square. After that blocks of one component are
+  skipped together, and all pairs of different components are looked at.
 
 A pair is verified in three steps that lose nothing. Parity sketches differ in no more bits than the
 sets in elements: folded to 256 bits they settle most pairs that are not linked before these leave a
@@ -39,6 +40,8 @@ SKETCH_BITS = 256
 LIST_BLOCK = 512
 #: Places that the first pass looks ahead in a list.
 REACH = 2
+#: Pairs of entries whose sketches are held in memory at a time.
+EXPANDED = 1 << 16
 BROADCAST_BYTES = 24 << 20
 #: Rows that hold whole sets or texts go to Python in batches of so many.
 WIDE_ROWS = 256
@@ -114,40 +117,79 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(textkit.utf8(column)[0].tobytes(), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
-def list_pairs(key: np.ndarray, block: np.ndarray | None, node: np.ndarray, n: np.ndarray, place: np.ndarray, component: np.ndarray, sketch: np.ndarray | None, like: Likeness, reach: int | None = None) -> np.ndarray:
-    """Pairs of entries of one list that may link and aren't of one component; entries stand by list and size.
+def _spans(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of rows that agree in all columns begin."""
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
 
-    Step d holds every entry against the one d places on, for all lists at once. An entry drops out
-    when its list ends or the sizes ahead are too large. With blocks, only entries of different blocks meet.
+
+def _ends(key: np.ndarray) -> np.ndarray:
+    """For each row the place after its run of equal keys."""
+    starts = _spans(key)
+    return np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
+
+
+def _distinct(found: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+
+
+def neighbours(key: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, component: np.ndarray, like: Likeness) -> np.ndarray:
+    """Pairs of entries at most REACH places apart in a list that may link; entries stand by list and size.
+
+    What precedes the token in both sets counts as shared too, since pairs are taken from any list.
     """
     n, place = n.astype(np.int64), place.astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    end = np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
-    i = np.arange(len(key))
-    found = []
-    d = 0
-    while len(i) and (reach is None or d < reach):
-        d += 1
+    end, i, found = _ends(key), np.arange(len(key)), []
+    for d in range(1, REACH + 1):
         i = i[i + d < end[i]]
         i = i[like.denominator * n[i] >= like.numerator * n[i + d]]
         j = i + d
-        least = like.least_shared(n[i] + n[j])
-        follow = np.minimum(n[i] - place[i], n[j] - place[j])
-        if reach is not None:
-            follow = follow + np.minimum(place[i], place[j])
-        # In the list of the first token that a pair shares, what follows in both sets must hold all it needs.
-        # A linked pair passes there, so lists of later tokens need not give it again; a pass that looks
-        # only so far ahead takes what may link from any list.
-        ok = (component[i] != component[j]) & (follow >= least)
-        if block is not None:
-            ok &= (block[i] != block[j]) | (block[i] < 0)
-        a, b = i[ok], j[ok]
-        if sketch is not None and len(a):
-            near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= n[a] + n[b] - 2 * least[ok]
-            a, b = a[near], b[near]
-        if len(a):
-            found.append(np.sort(np.stack([node[a], node[b]]), axis=0))
-    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+        most = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j])
+        ok = (component[i] != component[j]) & (most >= like.least_shared(n[i] + n[j]))
+        found.append(np.sort(np.stack([node[i[ok]], node[j[ok]]]), axis=0))
+    return _distinct(found)
+
+
+def block_pairs(key: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, component: np.ndarray, sketch: np.ndarray, like: Likeness) -> tuple[np.ndarray, int]:
+    """(pairs that may link and aren't of one component, entries held against each other for them).
+
+    Entries stand by list, size, place, component and side. Those that agree in all five are a block, and
+    what tells two entries apart tells two blocks apart: a block is skipped as a whole when its size is
+    too large, when too few tokens follow its place for the two to share what they need, when its
+    component is the other's, so that one answers for all, or when both are of one side (of a list that is
+    dealt over tasks; -1 meets all). Only blocks that are left are opened, EXPANDED pairs at a time.
+
+    In the list of the first token that a pair shares, what follows in both sets holds all it needs: a
+    linked pair passes there, so lists of later tokens need not give it again.
+    """
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    starts = _spans(key, n, place, component, side)
+    sizes = np.diff(np.r_[starts, len(key)])
+    length, at, of, by = n[starts], place[starts], component[starts], side[starts]
+    end, i = _ends(key[starts]), np.arange(len(starts))
+    found, held, d = [], 0, 0
+    while len(i):
+        d += 1
+        i = i[i + d < end[i]]
+        i = i[like.denominator * length[i] >= like.numerator * length[i + d]]
+        j = i + d
+        least = like.least_shared(length[i] + length[j])
+        ok = (np.minimum(length[i] - at[i], length[j] - at[j]) >= least) & (of[i] != of[j]) & ((by[i] != by[j]) | (by[i] < 0))
+        left, right, least = i[ok], j[ok], least[ok]
+        each = sizes[left] * sizes[right]
+        total = np.cumsum(each)
+        held += int(total[-1]) if len(total) else 0
+        begin = 0
+        while begin < len(each):
+            before = total[begin] - each[begin]
+            stop = max(begin + 1, int(np.searchsorted(total, before + EXPANDED, "right")))
+            which = np.repeat(np.arange(begin, stop), each[begin:stop])
+            step = textkit.spread(np.zeros(stop - begin, np.int64), each[begin:stop])
+            a, b = starts[left[which]] + step // sizes[right[which]], starts[right[which]] + step % sizes[right[which]]
+            near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= n[a] + n[b] - 2 * least[which]
+            if near.any():
+                found.append(np.sort(np.stack([node[a[near]], node[b[near]]]), axis=0))
+            begin = stop
+    return _distinct(found), held
 
 
 _PARTNERS = "a long, partners array<long>"
@@ -169,7 +211,7 @@ def _near_pairs(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[p
     """Pairs of close neighbours in lists that come in order; those that a batch's end parts are left to the later pass."""
     for batch in batches:
         token, node, n, place, component = (batch.column(c).to_numpy() for c in ("token", "id", "n", "place", "component"))
-        pairs = list_pairs(token, None, node, n, place, component, None, like, REACH)
+        pairs = neighbours(token, node, n, place, component, like)
         if pairs.shape[1]:
             yield _partners(pairs)
 
@@ -181,8 +223,7 @@ def _all_pairs(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa
 
     def settle(table: pa.RecordBatch) -> pa.RecordBatch | None:
         key = textkit.mix(table.column("token").to_numpy().view(np.uint64)) ^ textkit.mix(table.column("pair").to_numpy().astype(np.uint64) + np.uint64(1))
-        # -1 marks entries of a list, or of two equal blocks, that all meet.
-        pairs = list_pairs(key, table.column("block").to_numpy(), *(table.column(c).to_numpy() for c in ("id", "n", "place", "component")), _sketches(table.column("fold")), like)
+        pairs, _ = block_pairs(key, *(table.column(c).to_numpy() for c in ("side", "id", "n", "place", "component")), _sketches(table.column("fold")), like)
         return _partners(pairs) if pairs.shape[1] else None
 
     def joined() -> pa.RecordBatch:
@@ -319,10 +360,10 @@ class _Join:
         blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
         mine = F.pmod(F.xxhash64(F.lit(2), "id"), blocks).cast("int")
         # Every two blocks of a large list meet in one task, and each block with itself.
-        meets = F.when(F.col("size").isNotNull(), F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct((F.least(mine, j) * blocks + F.greatest(mine, j)).alias("pair"), F.when(j != mine, mine).otherwise(F.lit(-1)).alias("block"))))
-        alone = F.array(F.struct(F.lit(0).alias("pair"), F.lit(-1).alias("block")))
-        dealt = rows.select("token", "id", "n", "place", "component", "fold", F.explode(F.coalesce(meets, alone)).alias("m")).select("token", "m.pair", "m.block", "id", "n", "place", "component", "fold")
-        grouped = dealt.repartition(self.parts, "token", "pair").sortWithinPartitions("token", "pair", "n", "id")
+        meets = F.when(F.col("size").isNotNull(), F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct((F.least(mine, j) * blocks + F.greatest(mine, j)).alias("pair"), F.when(j != mine, mine).otherwise(F.lit(-1)).alias("side"))))
+        alone = F.array(F.struct(F.lit(0).alias("pair"), F.lit(-1).alias("side")))
+        dealt = rows.select("token", "id", "n", "place", "component", "fold", F.explode(F.coalesce(meets, alone)).alias("m")).select("token", "m.pair", "m.side", "id", "n", "place", "component", "fold")
+        grouped = dealt.repartition(self.parts, "token", "pair").sortWithinPartitions("token", "pair", "n", "place", "component", "side")
         self.verify(distinct_pairs(grouped.mapInArrow(lambda it: _all_pairs(it, like), _PARTNERS)))
 
     def _sized(self, left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from loomstone.llm import jaccard_join
+import numpy as np
+import pytest
+from loomstone.llm import jaccard_join, textkit
 
 
 def shingles(text, n):
@@ -105,3 +107,48 @@ def test_equal_rows_survive_all_stages(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len([r for r in got if r.doc_id == 1 and r.start == 0]) == 2
+
+
+def _entries(seed, like, copies):
+    """Index lists of random sets over few tokens, with near copies, as the join orders them; and the sets."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(40):
+        base = set(rng.choice(400, size=int(rng.integers(5, 60)), replace=False).tolist())
+        for _ in range(int(rng.integers(1, copies + 1))):
+            sets.append(base - set(rng.choice(sorted(base), size=int(rng.integers(0, 3))).tolist()))
+    sets = sorted({tuple(sorted(s)) for s in sets})
+    component = rng.integers(0, len(sets) // 2, size=len(sets)) if copies > 1 else np.arange(len(sets))
+    rows = [(t, len(s), place, int(component[i]), int(i % 3) - 1, i) for i, s in enumerate(sets) for place, t in enumerate(s[: like.prefix_size(len(s))])]
+    key, n, place, of, side, node = (np.array(c, dtype=np.int64) for c in zip(*sorted(rows)))
+    fold = [jaccard_join.folded(jaccard_join.parity_sketch(textkit.mix(np.array(s, dtype=np.uint64)))) for s in sets]
+    return sets, component, (key, side, node, n, place, of, np.stack(fold)[node])
+
+
+@pytest.mark.parametrize("like", [jaccard_join.CLOSE, jaccard_join.Likeness(5, 8, 10), jaccard_join.Likeness(3, 5, 10)])
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_lose_no_linked_pair(like, seed):
+    """Every linked pair of different components and sides is given, whatever is skipped, and however few pairs are opened at a time."""
+    for copies in (1, 6):
+        sets, component, entries = _entries(seed, like, copies)
+        got, _ = jaccard_join.block_pairs(*entries, like)
+        got = set(map(tuple, got.T.tolist()))
+        side = [i % 3 - 1 for i in range(len(sets))]
+        linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if like.denominator * len(set(sets[i]) & set(sets[j])) >= like.numerator * len(set(sets[i]) | set(sets[j]))}
+        wanted = {(i, j) for i, j in linked if component[i] != component[j] and (side[i] != side[j] or side[i] < 0)}
+        assert wanted <= got and (wanted or copies == 1) and all(component[i] != component[j] for i, j in got)
+        assert not [p for p in got if side[p[0]] == side[p[1]] and side[p[0]] >= 0]
+
+
+def test_blocks_are_skipped():
+    """A list of 3,000 entries of one size: what can't link by position, or is of one component, is never opened."""
+    like, n = jaccard_join.CLOSE, 100
+    node = np.arange(3000)
+    key, size, side = np.zeros(3000, np.int64), np.full(3000, n), np.full(3000, -1)
+    sketch = np.zeros((3000, jaccard_join.SKETCH_BITS // 64), np.uint64)
+    late = np.full(3000, 8)  # of 100 tokens 92 follow; 95 would have to be shared
+    pairs, held = jaccard_join.block_pairs(key, side, node, size, late, node, sketch, like)
+    assert pairs.shape[1] == 0 and held == 0
+    known = np.repeat([3, 7], 1500)
+    pairs, held = jaccard_join.block_pairs(key, side, node, size, np.zeros(3000, np.int64), known, sketch, like)
+    assert held == 1500 * 1500 == pairs.shape[1]  # and not the 4,498,500 of all
