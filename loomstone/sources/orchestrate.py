@@ -126,4 +126,6 @@ def normalize_sources(spark: SparkSession, home: str, root: str | None = None, h
         if fail_fast and row["position"] == 0:
             raise ValueError(f"{row['source_path']}: {row['message']}")
     n = events.count()
-    return normalize.dedupe_and_order(events), everything.warnings, {a: h.report() for a, h in health.items()}, n
+    ordered = normalize.dedupe_and_order(events)  # written when this returns, so the cache has done its work
+    events.unpersist()
+    return ordered, everything.warnings, {a: h.report() for a, h in health.items()}, n
