@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomstone.plans import adapter_queries
 from loomstone.sources import amp, claude, codex, gemini, opencode
 from loomstone.sources.messages import join_parts
-from loomstone.sources.records import lines_of
+from loomstone.sources.records import Parsed, lines_of
 
 T = "2026-02-01T10:00:00Z"
 
@@ -132,6 +134,27 @@ def test_amp_first_present_key_decides(spark):
     assert row.conversation_id is None
 
 
+def test_sums_of_times_beyond_a_long(spark, tmp_path):
+    """40,000 events at the end of year 9999: their milliseconds sum to more than a long holds, and come out whole."""
+    ms, n = 253402300799000, 40_000
+    assert ms * n > 2**63
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_millis(F.lit(ms)).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    found = adapter_queries.amp_file_changes(spark, str(tmp_path)).collect()
+    chars = sum(len(f"text of {i}") for i in range(n))
+    assert [tuple(r) for r in found] == [("tool_result", "tool_output", "tool", "exact", n, ms * n, chars)]
+
+
+@pytest.mark.parametrize("total, kind", [(2**63 - 1, "bigint"), (2**63, "decimal(38,0)"), (-(2**63), "bigint"), (-(2**63) - 1, "decimal(38,0)")])
+def test_type_of_summed_times(spark, total, kind):
+    half = total // 2
+    rows = [("f", "t", "r", "exact", half, "ab"), ("f", "t", "r", "exact", total - half, None), ("f", "t", "r", "fallback", 1, None), ("f", "u", "r", "exact", None, None)]
+    events = spark.createDataFrame(rows, "record_format string, event_type string, role string, timestamp_quality string, timestamp_unix_ms long, content_text string")
+    found = adapter_queries._kinds(Parsed(events, events))
+    assert dict(found.dtypes)["ms"] == kind
+    assert {(r.event_type, r.timestamp_quality, r.n, r.ms, r.chars) for r in found.collect()} == {("t", "exact", 2, total, 2), ("t", "fallback", 1, 1, 0), ("u", "exact", 1, None, 0)}
+
+
 def test_opencode(spark):
     found, info = opencode.session_messages(lines_of(_doc(spark, {"sessionID": "a", "messageID": "m2", "createdAt": "2", "role": "user"}, {"session_id": "a", "message_id": "m1", "role": "assistant"}, {"sessionID": "a", "title": "T"}, {"messageID": "lost"})))
     assert found.count() == 2 and info.first()["title"] == "T"
