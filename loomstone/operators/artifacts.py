@@ -29,7 +29,7 @@ def as_jsonl(events: DataFrame) -> DataFrame:
         mart = f.name if f.name in schema.EVENT_COLUMNS else f"{f.name}_json"
         if f.name in schema.LIST_COLUMNS:
             items = F.from_json(mart, "array<string>")
-            fields.append(F.when(F.size(items) > 0, items).alias(f.name))
+            fields.append(F.when((F.col(mart) != "[]") & (F.size(items) > 0), items).alias(f.name))
         elif f.name == "metadata":
             fields.append(F.when(F.col(mart) != "{}", F.try_parse_json(mart)).alias(f.name))
         elif f.name == "pii_redacted":

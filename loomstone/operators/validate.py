@@ -21,31 +21,57 @@ def requires_content() -> Column:
     return (F.col("record_format") == "message") & F.col("role").isin("user", "assistant")
 
 
-def decode(lines: DataFrame) -> DataFrame:
-    """`lines` (line, value) as line, problem (null if the record is sound), problem_kind, event (the typed record).
+def _shape() -> str:
+    """A pattern of the type, as schema_of_variant writes it with its keys sorted, of a record whose keys and kinds are right.
 
-    A record must be an object, have the required keys, no unknown ones, values of the right type and
-    known words. A null where a value is optional is accepted, and open_code stands for opencode.
+    Metadata may hold objects and lists to a depth of four. Names that aren't plain words are quoted there, and the
+    pattern has no quote, so no name can pass for a type; what doesn't match is looked at key by key.
     """
+    kinds = {"string": "STRING", "bigint": "BIGINT", "double": r"(?:BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))", "boolean": "BOOLEAN", "array<string>": "ARRAY<(?:STRING|VOID)>"}
+    inner = "[^<>`]*+"
+    for _ in range(4):
+        inner = f"(?:[^<>`]++|<{inner}>)*+"
+    out = "OBJECT<"
+    for f in sorted(schema.JSONL_EVENTS, key=lambda f: f.name):
+        kind = f"OBJECT<{inner}>" if f.name == "metadata" else kinds[f.dataType.simpleString()]
+        listed = f.name == "metadata" or f.dataType.simpleString().startswith("array")
+        out += f"{f.name}: {kind}(?:, |>$)" if f.name in schema.JSONL_REQUIRED else f"(?:{f.name}: {kind}(?:, |>$))?" if listed else f"(?:{f.name}: (?:{kind}|VOID)(?:, |>$))?"
+    return f"^{out}$"
+
+
+def _known(name: str, word: Column) -> Column:
+    words = schema.VOCABULARIES[name]
+    return word.isin(*words, *(["open_code"] if "opencode" in words else []))
+
+
+def _sound(v: Column) -> Column:
+    """Whether a record is sound, by its type as a whole and the values that are bound; true of all sound records but those of deep metadata."""
+    fits = F.schema_of_variant(v).rlike(_shape())
+    for name in schema.VOCABULARIES:
+        fits = fits & _known(name, F.try_variant_get(v, f"$.{name}", "string"))
+    for f in schema.JSONL_EVENTS:
+        if f.dataType.simpleString() == "bigint":
+            fits = fits & (F.coalesce(F.try_variant_get(v, f"$.{f.name}", "bigint"), F.lit(0)) >= 0)
+    return F.coalesce(fits, F.lit(False))
+
+
+def _problem(value: Column, v: Column) -> Column:
+    """What is wrong with a record, key by key, or null."""
     fields = {f.name: f.dataType.simpleString() for f in schema.JSONL_EVENTS}
-    body = F.trim("value")
-    rows = lines.filter(body != "").select("line", body.alias("value")).withColumn("v", F.try_parse_json("value"))
-    kind = F.schema_of_variant("v")
-    rows = rows.withColumn("is_object", kind.startswith("OBJECT")).withColumn("keys", F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")))
-    missing = F.array_sort(F.array_except(F.array(*(F.lit(k) for k in schema.JSONL_REQUIRED)), F.col("keys")))
-    unknown = F.array_sort(F.array_except("keys", F.array(*(F.lit(k) for k in fields))))
+    keys = F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
+    missing = F.array_sort(F.array_except(F.array(*(F.lit(k) for k in schema.JSONL_REQUIRED)), keys))
+    unknown = F.array_sort(F.array_except(keys, F.array(*(F.lit(k) for k in fields))))
 
     def typed(name: str, kind: str) -> Column:
-        at = F.try_variant_get("v", f"$.{name}", "variant")
+        at = F.try_variant_get(v, f"$.{name}", "variant")
         what = F.schema_of_variant(at)
         empty = at.isNull() | (what == "VOID") if name not in schema.JSONL_REQUIRED else F.lit(False)
         if kind == "string":
             fits = what == "STRING"
             if name in schema.VOCABULARIES:
-                word = F.try_variant_get("v", f"$.{name}", "string")
-                fits = fits & word.isin(*schema.VOCABULARIES[name], *(["open_code"] if "opencode" in schema.VOCABULARIES[name] else []))
+                fits = fits & _known(name, F.try_variant_get(v, f"$.{name}", "string"))
         elif kind == "bigint":
-            fits = (what == "BIGINT") & (F.try_variant_get("v", f"$.{name}", "bigint") >= 0)
+            fits = (what == "BIGINT") & (F.try_variant_get(v, f"$.{name}", "bigint") >= 0)
         elif kind == "double":
             fits = what.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$")
         elif kind == "boolean":
@@ -61,19 +87,35 @@ def decode(lines: DataFrame) -> DataFrame:
         return F.when(~F.coalesce(empty | fits, F.lit(False)), F.lit(name))
 
     wrong = F.array_compact(F.array(*(typed(n, k) for n, k in fields.items())))
-    rows = rows.withColumn("missing", missing).withColumn("unknown", unknown).withColumn("wrong", wrong)
     text = "record does not match agentlog.v1 schema: "
-    problem = (
-        F.when(F.col("v").isNull(), "invalid JSON")
-        .when(~F.col("is_object"), "record is not a JSON object")
-        .when(F.size("missing") > 0, F.concat(F.lit("missing required fields: "), F.array_join("missing", ", ")))
-        .when(F.size("unknown") > 0, F.concat(F.lit(text + "unknown field "), F.array_join("unknown", ", ")))
-        .when(F.size("wrong") > 0, F.concat(F.lit(text + "invalid value for "), F.array_join("wrong", ", ")))
+    return (
+        F.when(v.isNull(), "invalid JSON")
+        .when(~F.schema_of_variant(v).startswith("OBJECT"), "record is not a JSON object")
+        .when(F.size(missing) > 0, F.concat(F.lit("missing required fields: "), F.array_join(missing, ", ")))
+        .when(F.size(unknown) > 0, F.concat(F.lit(text + "unknown field "), F.array_join(unknown, ", ")))
+        .when(F.size(wrong) > 0, F.concat(F.lit(text + "invalid value for "), F.array_join(wrong, ", ")))
     )
-    typed_fields = [f"{n} {k if n != 'metadata' else 'string'}" for n, k in fields.items()]
+
+
+def decode(lines: DataFrame) -> DataFrame:
+    """`lines` (line, value) as line, problem (null if the record is sound), problem_kind, event (the typed record).
+
+    A record must be an object, have the required keys, no unknown ones, values of the right type and
+    known words. A null where a value is optional is accepted, and open_code stands for opencode.
+    """
+    body = F.trim("value")
+    rows = lines.filter(body != "").select("line", body.alias("value")).withColumn("v", F.try_parse_json("value"))
+    # Most records are sound, which one pattern tells. The look key by key stands in a lambda, which Spark doesn't
+    # compile: it makes a method beyond what the JVM compiles, which would then run by the byte, sound records too.
+    slow = F.get(F.transform(F.array(F.struct("value", "v")), lambda r: _problem(r["value"], r["v"])), F.lit(0))
+    rows = rows.withColumn("problem", F.when(~_sound(F.col("v")), slow))
+    problem = F.col("problem")
+    typed_fields = [f"{f.name} {f.dataType.simpleString()}" for f in schema.JSONL_EVENTS]
     event = F.from_json("value", ", ".join(typed_fields))
     kind_of = F.when(F.col("v").isNull(), "invalid_json").otherwise("schema_violation")
-    return rows.select("line", problem.alias("problem"), F.when(problem.isNotNull(), kind_of).alias("problem_kind"), F.when(problem.isNull(), event).alias("event"))
+    made = rows.select("line", "problem", F.when(problem.isNotNull(), kind_of).alias("problem_kind"), F.when(problem.isNull(), event).alias("event"))
+    # As a generator's rows, so that a filter on them isn't pushed below, where the record would be parsed once more.
+    return made.select("line", F.inline(F.array(F.struct("problem", "problem_kind", "event"))))
 
 
 def events_of(decoded: DataFrame) -> DataFrame:

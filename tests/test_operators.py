@@ -330,3 +330,19 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         scratch.shared_dir(Session())
+
+
+def test_a_record_is_parsed_once_and_the_pattern_agrees_with_the_look_key_by_key(spark):
+    plan = validate.events_of(validate.decode(_lines(spark, "{}"))).select("event_id", "role")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1  # a filter on the problem, pushed below, parsed and judged a record again for each of its keys
+    sound = json.loads(artifacts.as_jsonl(events(spark, {"content_text": "t", "tags_json": '["x"]', "metadata_json": '{"a":{"b":[{"c":[1]}]}}'})).first()["value"])
+    odd = [
+        {"cost_usd": 1}, {"cost_usd": 1.5}, {"cost_usd": 1e300}, {"cost_usd": "1"}, {"cost_usd": None}, {"model": None}, {"model": 5}, {"tags": []}, {"tags": None}, {"tags": [None]}, {"tags": [1]}, {"tags": [["x"]]},
+        {"role": "boss"}, {"role": None}, {"source_kind": "open_code"}, {"sequence_source": -1}, {"sequence_source": 1.5}, {"sequence_global": None}, {"input_tokens": 10**19}, {"pii_redacted": 1}, {"pii_redacted": True},
+        {"metadata": {}}, {"metadata": None}, {"metadata": []}, {"metadata": {"x>, model: STRING": 1, "y`": 2}}, {"metadata": {}, "model": ["x"]}, {"metadata": {"a": [[[[[[1]]]]]]}}, {"zzz": 1}, {"a b": 1}, {"": 1},
+    ]
+    lines = [json.dumps(sound | x) for x in odd] + [json.dumps({k: v for k, v in sound.items() if k != left}) for left in sound] + ["{", "[1]", "{}", "null", '"x"', "7", json.dumps(sound)]
+    v = F.try_parse_json("value")
+    judged = _lines(spark, *lines).select("line", validate._sound(v).alias("fast"), F.transform(F.array(F.struct("value", v.alias("v"))), lambda r: validate._problem(r["value"], r["v"]))[0].alias("slow")).collect()
+    assert [r for r in judged if r["fast"] and r["slow"]] == [] and [lines[r["line"] - 1] for r in judged if not r["fast"] and not r["slow"]] == [json.dumps(sound | {"metadata": {"x>, model: STRING": 1, "y`": 2}}), json.dumps(sound | {"metadata": {"a": [[[[[[1]]]]]]}})]
+    assert {r["line"]: r["problem"] for r in validate.decode(_lines(spark, *lines)).collect()} == {r["line"]: r["slow"] for r in judged}
