@@ -70,7 +70,7 @@ def _normalize(spark: SparkSession, args: argparse.Namespace, home: str, out: st
     artifacts.write_json(os.path.join(out, "discovery", "sources.json"), discovery.sources_artifact(discovery.prioritized(scores)))
     artifacts.write_json(os.path.join(out, "discovery", "zsh_history_usage.json"), discovery.usage_artifact(scores))
     for adapter, report in sorted(health.items()):
-        print(f"normalize: adapter={adapter} status={report['status']} reason={report['reason'] or 'none'} files={report['files_parsed']} events={report['events_emitted']} warnings={len(report['warnings'])} errors={len(report['errors'])}")
+        print(f"normalize: adapter={adapter} status={report['status']} reason={report['reason'] or 'none'} files={report['files_parsed']} events={report['events_emitted']} warnings={report['warnings_count']} errors={len(report['errors'])}")
     print(f"normalize: complete events={n} duplicates_removed={before - n} warnings={warnings.count()}")
 
 

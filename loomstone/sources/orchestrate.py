@@ -6,26 +6,33 @@ import os
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone import schema
 from loomstone.operators import normalize
 from loomstone.sources import amp, claude, codex, discovery, gemini
-from loomstone.sources.records import Parsed, lines_of, read_documents
-
-_PARSERS = {
-    ("codex", "rollout"): lambda d: codex.rollout(lines_of(d)),
-    ("codex", "history"): lambda d: codex.history(lines_of(d)),
-    ("claude", "sessions"): lambda d: claude.sessions(lines_of(d)),
-    ("claude", "history"): lambda d: claude.history(lines_of(d)),
-    ("claude", "mcp_log"): lambda d: claude.mcp_log(lines_of(d)),
+from loomstone.sources.records import Parsed, read_documents, read_lines
+
+#: Parsers of lines, which are read in blocks of a file, and of whole documents.
+_OF_LINES = {
+    ("codex", "rollout"): codex.rollout,
+    ("codex", "history"): codex.history,
+    ("claude", "sessions"): claude.sessions,
+    ("claude", "history"): claude.history,
+    ("claude", "mcp_log"): claude.mcp_log,
+}
+_OF_DOCUMENTS = {
     ("gemini", "logs"): gemini.logs,
     ("gemini", "chats"): gemini.chats,
     ("amp", "file_changes"): amp.file_changes,
 }
 
 
+#: Warnings that an adapter's health lists; all are counted, and the table of warnings has them all.
+LISTED = 10_000
+
+
 @dataclass
 class Health:
     supported: bool = True
@@ -35,6 +42,7 @@ class Health:
     events_emitted: int = 0
     warnings: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
+    warnings_count: int = 0
 
     def report(self) -> dict:
         """Status and its reason, then the counts."""
@@ -48,7 +56,7 @@ class Health:
             status, reason = "partial_failure", "adapter_emitted_partial_results"
         else:
             status, reason = "failed", "adapter_failed_without_emitting_events"
-        return {"status": status, "reason": reason, "sources_considered": self.sources_considered, "files_discovered": self.files_discovered, "files_parsed": self.files_parsed, "events_emitted": self.events_emitted, "warnings": self.warnings, "errors": self.errors}
+        return {"status": status, "reason": reason, "sources_considered": self.sources_considered, "files_discovered": self.files_discovered, "files_parsed": self.files_parsed, "events_emitted": self.events_emitted, "warnings_count": self.warnings_count, "warnings": self.warnings, "errors": self.errors}
 
 
 def shape_of(adapter: str, role: str, path: str) -> str | None:
@@ -64,19 +72,29 @@ def shape_of(adapter: str, role: str, path: str) -> str | None:
     return None
 
 
-def placed(events: DataFrame) -> DataFrame:
+def placed(events: DataFrame, place: Column | None = None) -> DataFrame:
     """`events` with input_seq, its place in the input: adapter, file by path, then place in the file.
 
-    Scans take the largest file first, so a number of rows alone would follow sizes; within a file, which
-    one task reads from its start, it follows the lines.
+    Scans take the largest file first, so a number of rows alone would follow sizes; within a file that
+    one task reads from its start, which is meant if no `place` is given, it follows the lines.
     """
-    return events.withColumn("input_seq", F.struct("adapter_name", "source_path", F.monotonically_increasing_id().alias("place")))
+    return events.withColumn("input_seq", F.struct("adapter_name", "source_path", (F.monotonically_increasing_id() if place is None else place).alias("place")))
+
+
+def _parsed(spark: SparkSession, key: tuple[str, str], paths: list[str]) -> Parsed:
+    return _OF_LINES[key](read_lines(spark, paths)) if key in _OF_LINES else _OF_DOCUMENTS[key](read_documents(spark, paths))
 
 
 def normalize_sources(spark: SparkSession, home: str, root: str | None = None, history: dict[str, int] | None = None, adapters: list[str] | None = None, fail_fast: bool = False) -> tuple[DataFrame, DataFrame, dict[str, dict], int]:
-    """(events, warnings, health by adapter, records before folding).
+    """(events, warnings, health by adapter, records before folding)."""
+    events, warnings, health, n = parse_sources(spark, home, root, history, adapters, fail_fast)
+    return normalize.dedupe_and_order(placed(events, F.col("sequence_global"))) if n else events, warnings, health, n
+
+
+def parse_sources(spark: SparkSession, home: str, root: str | None = None, history: dict[str, int] | None = None, adapters: list[str] | None = None, fail_fast: bool = False) -> tuple[DataFrame, DataFrame, dict[str, dict], int]:
+    """(events as parsed, warnings, health by adapter, events), without folding and order.
 
-    Files of one adapter and shape are one scan and one plan, however many they are. A file that
+    Files of one adapter and shape are one scan and one plan, however many they are; each record is parsed once. A file that
     can't be read as its shape is an error of its adapter, and ends the run if `fail_fast`.
     """
     health = {a: Health(supported=a in discovery.SUPPORTED) for a in (adapters or schema.ADAPTERS)}
@@ -111,21 +129,23 @@ def normalize_sources(spark: SparkSession, home: str, root: str | None = None, h
                 continue
             files.setdefault((source["adapter"], shape), []).append(f)
             mine.files_parsed += 1
-    parsed: list[Parsed] = [_PARSERS[key](read_documents(spark, paths)) for key, paths in sorted(files.items())]
+    parsed = {key: _parsed(spark, key, paths).written(spark) for key, paths in sorted(files.items())}
     if not parsed:
         empty = spark.createDataFrame([], schema.EVENTS)
         return empty, spark.createDataFrame([], "source_path string, position long, message string"), {a: h.report() for a, h in health.items()}, 0
-    everything = reduce(Parsed.__add__, parsed)
-    events = placed(everything.events).cache()
-    for row in events.groupBy("adapter_name").count().collect():
+    everything = reduce(Parsed.__add__, parsed.values())
+    for row in everything.events.groupBy("adapter_name").count().collect():
         health[row["adapter_name"]].events_emitted = row["count"]
-    by_path = {p: a for (a, _), paths in files.items() for p in paths}
-    for row in everything.warnings.orderBy("source_path", "position", "message").collect():
-        mine = health[by_path.get(row["source_path"], next(iter(health)))]
-        (mine.errors if row["position"] == 0 else mine.warnings).append(f"{row['source_path']}: {row['message']}")
-        if fail_fast and row["position"] == 0:
-            raise ValueError(f"{row['source_path']}: {row['message']}")
-    n = events.count()
-    ordered = normalize.dedupe_and_order(events)  # written when this returns, so the cache has done its work
-    events.unpersist()
-    return ordered, everything.warnings, {a: h.report() for a, h in health.items()}, n
+    order, failed = ["source_path", "position", "message"], []
+    for adapter in sorted({a for a, _ in parsed}):
+        mine = health[adapter]
+        told = reduce(DataFrame.unionByName, [p.warnings for (a, _), p in parsed.items() if a == adapter])
+        wrong = [f"{r['source_path']}: {r['message']}" for r in told.filter("position = 0").orderBy(*order).collect()]  # one a file
+        mine.errors += wrong
+        failed += wrong
+        notes = told.filter("position <> 0")
+        mine.warnings_count = len(mine.warnings) + notes.count()
+        mine.warnings += [f"{r['source_path']}: {r['message']}" for r in notes.orderBy(*order).limit(LISTED).collect()]
+    if fail_fast and failed:
+        raise ValueError(min(failed))
+    return everything.events, everything.warnings, {a: h.report() for a, h in health.items()}, sum(h.events_emitted for h in health.values())

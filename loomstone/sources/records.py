@@ -7,25 +7,41 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone import schema
+from loomstone import schema, scratch
 from loomstone.functions.jsontext import block_text, json_at, text_of
 from loomstone.functions.text import digest, excerpt
 from loomstone.functions.timeparse import format_ms, parse_ms
 
 ADAPTER_VERSION = "v1"
 RUN_ID = "normalize-orchestrator-v1"
+#: Blocks of files whose places are broadcast; of more, lines are joined by a shuffle.
+BLOCKS = 50_000
 _WHITE = r"(?U)^\s+|\s+$"
 
 
 @dataclass
 class Parsed:
-    """Events in the mart's columns, and warnings (source_path, position, message)."""
+    """Events in the mart's columns, and warnings (source_path, position, message).
+
+    `records`, where it is given, has both of each record, so that they can be written in one pass: the event's
+    columns, position, problem and notes.
+    """
 
     events: DataFrame
     warnings: DataFrame
+    records: DataFrame | None = None
+
+    @staticmethod
+    def of(records: DataFrame) -> Parsed:
+        warnings = records.select("source_path", "position", F.explode("notes").alias("message"))
+        return Parsed(records.filter("problem IS NULL").select(*schema.EVENT_COLUMNS), warnings, records)
+
+    def written(self, spark: SparkSession) -> Parsed:
+        """The same out of a table, so that no record is parsed twice."""
+        return Parsed(scratch.written(spark, self.events), self.warnings) if self.records is None else Parsed.of(scratch.written(spark, self.records))
 
     def __add__(self, other: Parsed) -> Parsed:
         return Parsed(self.events.unionByName(other.events), self.warnings.unionByName(other.warnings))
@@ -41,9 +57,7 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     shown = [p for p in paths if p not in set(hidden)]
     found = None
     if shown:
-        raw = spark.read.text(shown, wholetext=True)
-        path = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
-        found = raw.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("source_path"), "value")
+        found = spark.read.text(shown, wholetext=True).select(_path().alias("source_path"), "value")
     if hidden:
         texts = []
         for p in hidden:
@@ -54,6 +68,33 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([], "source_path string, value string") if found is None else found
 
 
+def _path() -> Column:
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_path, line, value) as lines_of(read_documents()) has them, of files of any size.
+
+    Files are read in blocks, written as they are read, and a block's lines are numbered from the counts of those
+    before it in its file. An empty line after the last line feed isn't given, and Spark drops a byte order mark.
+    """
+    hidden = [p for p in paths if p.rsplit("/", 1)[-1][:1] in (".", "_")]
+    shown = [p for p in paths if p not in set(hidden)]
+    found = lines_of(read_documents(spark, hidden))
+    if not shown:
+        return found
+    raw = spark.read.text(shown, lineSep="\n").select(_path().alias("source_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    kept = scratch.written(spark, raw)
+    blocks = kept.groupBy("source_path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source_path").orderBy("block")) - F.col("n")
+    blocks = scratch.written(spark, blocks.select("source_path", "block", "first", before.alias("before")))
+    few = blocks.count() <= BLOCKS
+    rows = kept.join(F.broadcast(blocks) if few else blocks, ["source_path", "block"])
+    numbered = rows.select("source_path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return numbered if not hidden else numbered.unionByName(found)
+
+
 def lines_of(documents: DataFrame) -> DataFrame:
     """(source_path, line, value) with lines counted from 1; a line ends at a line feed, and a return before it goes."""
     numbered = documents.select("source_path", F.posexplode(F.split("value", "\n")).alias("at", "text"))
@@ -185,8 +226,7 @@ def assemble(rows: DataFrame, adapter: str, columns: dict[str, Column], messages
         "raw_hash": digest(F.col("value")),
     }
     full = base | columns
-    sound = rows.filter("problem IS NULL")
-    events = sound.select(*(full.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.EVENTS))
+    events = [full.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.EVENTS]
     all_notes = F.when(F.col("problem").isNotNull(), F.array("problem")).otherwise(messages)
     warnings = rows.select("source_path", F.col("line").alias("position"), F.explode(all_notes).alias("message"))
-    return Parsed(events, warnings)
+    return Parsed(rows.filter("problem IS NULL").select(*events), warnings, rows.select(*events, F.col("line").alias("position"), "problem", all_notes.alias("notes")))

@@ -346,3 +346,35 @@ def test_a_record_is_parsed_once_and_the_pattern_agrees_with_the_look_key_by_key
     judged = _lines(spark, *lines).select("line", validate._sound(v).alias("fast"), F.transform(F.array(F.struct("value", v.alias("v"))), lambda r: validate._problem(r["value"], r["v"]))[0].alias("slow")).collect()
     assert [r for r in judged if r["fast"] and r["slow"]] == [] and [lines[r["line"] - 1] for r in judged if not r["fast"] and not r["slow"]] == [json.dumps(sound | {"metadata": {"x>, model: STRING": 1, "y`": 2}}), json.dumps(sound | {"metadata": {"a": [[[[[[1]]]]]]}})]
     assert {r["line"]: r["problem"] for r in validate.decode(_lines(spark, *lines)).collect()} == {r["line"]: r["slow"] for r in judged}
+
+
+def test_lines_of_a_file_in_many_blocks(spark, tmp_path):
+    """Files are read in blocks that no task must hold together; numbers, health and warnings are as over whole files."""
+    folder = tmp_path / ".codex" / "sessions"
+    folder.mkdir(parents=True)
+    said = lambda i: json.dumps({"event_type": "odd" if i % 4 == 0 else "user_prompt", "created_at": "2024-01-01T00:00:00Z", "text": f"é{i}"}, ensure_ascii=False)
+    (folder / "a b+c.jsonl").write_bytes("\n".join(said(i) + "\r" * (i % 2) if i % 5 else "" for i in range(1, 201)).encode())
+    (folder / "d.jsonl").write_bytes(b"\n\n" + said(7).encode() + b"\n{\n" + "x\ry z\n".encode())
+    (folder / "_e.jsonl").write_bytes(said(9).encode())
+    (folder / "f.jsonl").write_bytes(b"")
+    paths = [str(p) for p in sorted(folder.iterdir())]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    listed, orchestrate.LISTED = orchestrate.LISTED, 3
+    try:
+        lines = records.read_lines(spark, paths)
+        assert spark.read.text(paths[1], lineSep="\n").rdd.getNumPartitions() > 10
+        got = sorted(tuple(r) for r in lines.select("source_path", "line", "value").filter("value <> ''").collect())
+        assert got == sorted(tuple(r) for r in records.lines_of(records.read_documents(spark, paths)).filter("value <> ''").collect())
+        blocks, records.BLOCKS = records.BLOCKS, 0
+        try:
+            assert sorted(tuple(r) for r in records.read_lines(spark, paths).select("source_path", "line", "value").filter("value <> ''").collect()) == got
+        finally:
+            records.BLOCKS = blocks
+        events, warnings, health, n = orchestrate.parse_sources(spark, str(tmp_path), adapters=["codex"])
+        assert n == events.count() == 162 and health["codex"]["events_emitted"] == 162 and health["codex"]["status"] == "success"
+        assert health["codex"]["warnings_count"] == warnings.count() == 42 and len(health["codex"]["warnings"]) == 3
+        ordered = orchestrate.normalize_sources(spark, str(tmp_path), adapters=["codex"])[0]
+        assert sorted(ordered.select("source_record_locator").filter("source_path LIKE '%a b+c%'").collect()) == sorted((f"line:{i}",) for i in range(1, 201) if i % 5)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        orchestrate.LISTED = listed
