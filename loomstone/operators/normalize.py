@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,30 @@ def dedupe(events: DataFrame, input_order: str = "input_seq") -> DataFrame:
     return folded.select("w.*", "dedupe_key", "dedupe_strategy", F.size("dedupe_members").alias("dedupe_count"), "dedupe_members", "provenance")
 
 
+#: Hashes of keys that several events share, which are broadcast; of more, all events are dealt by their keys.
+SHARED = 200_000
+
+
+def dedupe_at_scale(events: DataFrame, input_order: str = "input_seq") -> DataFrame:
+    """As dedupe, but an event alone with its key stays in its task; `events` is a table, since it is read twice.
+
+    Hashes of keys are counted first, 64 bits of each. An event whose hash is its own is alone with its key, so it
+    is its own winner, member and provenance; the others are folded by their keys themselves.
+    """
+    spark = events.sparkSession
+    marked = events.withColumn("dedupe_strategy", strategy()).withColumn("dedupe_key", dedupe_key())
+    mark = F.xxhash64("dedupe_strategy", "dedupe_key")
+    shared = scratch.written(spark, marked.groupBy(mark.alias("mark")).agg(F.count("*").alias("n")).filter("n > 1").select("mark"))
+    if shared.count() > SHARED:
+        return dedupe(events, input_order)
+    few = F.broadcast(shared)
+    own = [F.size("dedupe_members").alias("dedupe_count"), "dedupe_members", "provenance"]
+    alone = marked.withColumn("mark", mark).join(few, "mark", "left_anti").drop("mark")
+    alone = alone.withColumn("dedupe_members", F.array_compact(F.array("event_id"))).withColumn("provenance", F.array(F.struct("source_kind", "source_path", "source_record_locator", "raw_hash")))
+    several = marked.withColumn("mark", mark).join(few, "mark", "left_semi").select(*events.columns)
+    return alone.select(*events.columns, "dedupe_key", "dedupe_strategy", *own).unionByName(dedupe(several, input_order))
+
+
 def annotate(deduped: DataFrame) -> DataFrame:
     """Put the dedupe findings into metadata_json, keys sorted; they are always written, for single events too."""
     found = F.to_json(F.struct(F.col("dedupe_count"), F.col("dedupe_members"), F.col("dedupe_strategy"), F.col("provenance").alias("provenance_entries")))
@@ -82,11 +108,15 @@ def _sort_columns() -> list[Column]:
     return [F.asc_nulls_last(c) if c == "sequence_source" else F.asc(c) for c in ORDER]
 
 
-def total_order_at_scale(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """As total_order, without a task that sees all rows: range partitions are sorted apart and numbered from the rows before them."""
+def total_order_at_scale(spark: SparkSession, events: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """As total_order, without a task that sees all rows: range partitions are sorted apart and numbered from the rows before them.
+
+    `finish` makes columns that aren't sorted by, row by row, of the sorted rows: what is made before is made once more for the bounds.
+    """
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = events.withColumn("quality_rank", quality_rank())
-    ranged = keyed.repartitionByRange(parts, *_sort_columns()).sortWithinPartitions(*_sort_columns()).drop("quality_rank").withColumn("__at", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(parts, *_sort_columns()).sortWithinPartitions(*_sort_columns()).drop("quality_rank")
+    ranged = finish(ranged).withColumn("__at", F.monotonically_increasing_id())
     kept = scratch.written(spark, ranged)
     part = F.shiftright("__at", 33).cast("int")
     before, total = [], 0
@@ -101,7 +131,7 @@ def total_order_at_scale(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 def dedupe_and_order(events: DataFrame, input_order: str = "input_seq") -> DataFrame:
     """Canonical events: folded, annotated, ordered; columns as the mart has them."""
-    return total_order_at_scale(events.sparkSession, annotate(dedupe(events, input_order))).select(*schema.EVENT_COLUMNS)
+    return total_order_at_scale(events.sparkSession, dedupe_at_scale(events, input_order).drop("dedupe_key"), annotate).select(*schema.EVENT_COLUMNS)
 
 
 def histogram(events: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:

@@ -42,16 +42,21 @@ def _lists(rows: DataFrame, member: Column, folder: str, wrap: Callable[[Column]
 
 
 def _kinds(parsed: Parsed) -> DataFrame:
-    """(record_format, event_type, role, timestamp_quality, n, ms, chars) of parsed events.
+    """(record_format, event_type, role, timestamp_quality, n, ms, chars) of parsed events."""
+    counts = parsed.events.groupBy("record_format", "event_type", "role", "timestamp_quality").agg(
+        F.count("*").alias("n"), F.sum(F.col("timestamp_unix_ms").cast("decimal(38,0)")).alias("ms"), F.coalesce(F.sum(F.char_length("content_text")), F.lit(0)).cast("long").alias("chars")
+    )
+    return whole_ms(parsed.events.sparkSession, counts)
+
+
+def whole_ms(spark: SparkSession, counts: DataFrame) -> DataFrame:
+    """`counts` by kind, whose ms is a sum of times as decimal(38,0).
 
     ms is a long as in the SQL; if some kind's times sum to more than a long holds, where the SQL only
     fails, it is decimal(38,0). So that the type is known, the counts, a row for each kind, are written first.
     """
     ms = F.col("ms")
-    counts = parsed.events.groupBy("record_format", "event_type", "role", "timestamp_quality").agg(
-        F.count("*").alias("n"), F.sum(F.col("timestamp_unix_ms").cast("decimal(38,0)")).alias("ms"), F.coalesce(F.sum(F.char_length("content_text")), F.lit(0)).cast("long").alias("chars")
-    )
-    found = written(parsed.events.sparkSession, counts)
+    found = written(spark, counts)
     beyond = found.filter(ms.isNotNull() & ms.try_cast("long").isNull())
     return found.withColumn("ms", ms.cast("long")) if beyond.isEmpty() else found
 

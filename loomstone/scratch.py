@@ -21,5 +21,5 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/loomstone-core-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)

@@ -88,7 +88,7 @@ def _parsed(spark: SparkSession, key: tuple[str, str], paths: list[str]) -> Pars
 def normalize_sources(spark: SparkSession, home: str, root: str | None = None, history: dict[str, int] | None = None, adapters: list[str] | None = None, fail_fast: bool = False) -> tuple[DataFrame, DataFrame, dict[str, dict], int]:
     """(events, warnings, health by adapter, records before folding)."""
     events, warnings, health, n = parse_sources(spark, home, root, history, adapters, fail_fast)
-    return normalize.dedupe_and_order(placed(events, F.col("sequence_global"))) if n else events, warnings, health, n
+    return normalize.dedupe_and_order(placed(events, F.col("sequence_source"))) if n else events, warnings, health, n
 
 
 def parse_sources(spark: SparkSession, home: str, root: str | None = None, history: dict[str, int] | None = None, adapters: list[str] | None = None, fail_fast: bool = False) -> tuple[DataFrame, DataFrame, dict[str, dict], int]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomstone import schema, scratch
 from loomstone.operators import artifacts, ingest, normalize, parity, snapshot, validate
-from loomstone.plans import views
+from loomstone.plans import adapter_queries, views
 from loomstone.sources import orchestrate, records
 
 BASE = dict.fromkeys(schema.EVENT_COLUMNS) | {
@@ -354,8 +354,8 @@ def test_lines_of_a_file_in_many_blocks(spark, tmp_path):
     folder.mkdir(parents=True)
     said = lambda i: json.dumps({"event_type": "odd" if i % 4 == 0 else "user_prompt", "created_at": "2024-01-01T00:00:00Z", "text": f"é{i}"}, ensure_ascii=False)
     (folder / "a b+c.jsonl").write_bytes("\n".join(said(i) + "\r" * (i % 2) if i % 5 else "" for i in range(1, 201)).encode())
-    (folder / "d.jsonl").write_bytes(b"\n\n" + said(7).encode() + b"\n{\n" + "x\ry z\n".encode())
-    (folder / "_e.jsonl").write_bytes(said(9).encode())
+    (folder / "d.jsonl").write_bytes(b"\n\n" + said(1007).encode() + b"\n{\n" + "x\ry z\n".encode())
+    (folder / "_e.jsonl").write_bytes(said(1009).encode())
     (folder / "f.jsonl").write_bytes(b"")
     paths = [str(p) for p in sorted(folder.iterdir())]
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
@@ -378,3 +378,24 @@ def test_lines_of_a_file_in_many_blocks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         orchestrate.LISTED = listed
+
+
+def test_events_alone_with_their_keys_are_folded_without_a_shuffle_of_rows(spark):
+    def seen(df):
+        names = sorted(df.columns)
+        return sorted(tuple(map(str, r)) for r in df.select(*names).collect())
+
+    rows = [{"event_id": f"e{i % 7}", "canonical_hash": f"c{i}" if i % 3 else "same" if i % 2 else "", "source_record_locator": f"line:{i}", "raw_hash": f"r{i}"} for i in range(30)]
+    for some in (rows, rows[1:3], rows[:1] * 2):
+        table = scratch.written(spark, orchestrate.placed(events(spark, *some), F.col("source_record_locator")))
+        assert seen(normalize.dedupe_at_scale(table)) == seen(normalize.dedupe(table))
+        shared, normalize.SHARED = normalize.SHARED, 0
+        try:
+            assert seen(normalize.dedupe_at_scale(table)) == seen(normalize.dedupe(table))
+        finally:
+            normalize.SHARED = shared
+
+
+def test_times_of_normalize_beyond_a_long(spark):
+    kinds = adapter_queries.whole_ms(spark, spark.sql("SELECT 'k' AS kind, 2L AS n, CAST(9223372036854775807 AS DECIMAL(38,0)) * 2 AS ms").select("kind", "n", F.col("ms").cast("decimal(38,0)").alias("ms")))
+    assert dict(kinds.dtypes)["ms"] == "decimal(38,0)" and kinds.first()["ms"] == (2**63 - 1) * 2
